@@ -35,6 +35,7 @@ from trackuse.operators import (
     usage,
 )
 from trackuse.operators.ordering import first_n_per_group
+from trackuse.plans import figures
 from trackuse.plans.site_use import find_sites, site_tables
 from trackuse.sources.staging import shared_dir, stage
 from trackuse.sources.tables import read_studies
@@ -357,7 +358,7 @@ def _(spark, sf):
     "padded_extent",
     """SELECT round(lo_x - 0.4 * (hi_x - lo_x), 6) AS xmin, round(hi_x + 0.4 * (hi_x - lo_x), 6) AS xmax,
               round(lo_y - 0.4 * (hi_y - lo_y), 6) AS ymin, round(hi_y + 0.4 * (hi_y - lo_y), 6) AS ymax,
-              round((hi_x - lo_x) / (hi_y - lo_y), 6) AS aspect
+              round((1.8 * (hi_x - lo_x)) / (1.8 * (hi_y - lo_y)), 6) AS aspect
        FROM (SELECT min("X") AS lo_x, max("X") AS hi_x, min("Y") AS lo_y, max("Y") AS hi_y FROM fixes)""",
 )
 def _(spark, sf):
@@ -676,6 +677,38 @@ def _(spark, sf):
     return profile.map_labels(hub_summary(spark, sf)).select("site_id", "label")
 
 
+_ORTHO = """
+    SELECT *, nu * cos(phi) * sin(d) AS ox, nu * (sin(phi) * cos(p0) - cos(phi) * sin(p0) * cos(d))
+              + e2 * (nu0 * sin(p0) - nu * sin(phi)) * cos(p0) AS oy
+    FROM (SELECT *, a / sqrt(1 - e2 * pow(sin(phi), 2)) AS nu, a / sqrt(1 - e2 * pow(sin(p0), 2)) AS nu0
+          FROM (SELECT *, radians({lat}) AS phi, radians({lon}) - radians(-10.0) AS d, radians(35.0) AS p0,
+                       6378137.0::DOUBLE AS a, 2 / 298.257223563::DOUBLE - pow(1 / 298.257223563::DOUBLE, 2) AS e2
+                FROM {source}))"""
+CTES["summary_points"] = _ORTHO.format(lon="longitude", lat="latitude", source="summary")
+
+
+@query(
+    "flyway_map",
+    """SELECT site_id, site_label || ': ' || CAST(round_even(prop_mean * 100, 0) AS INTEGER) || '%' AS label,
+              round(ox, 2) AS x, round(oy, 2) AS y FROM summary_points""",
+)
+def _(spark, sf):
+    points, _ = figures.flyway_map(hub_summary(spark, sf))
+    return rounded(points.select("site_id", "label", "x", "y"), "x", "y", places=2)
+
+
+@query(
+    "flyway_extent",
+    """SELECT round(a - 0.6 * (b - a), 2) AS xmin, round(b + 0.6 * (b - a), 2) AS xmax,
+              round(c - 0.4 * (d - c), 2) AS ymin, round(d + 0.4 * (d - c), 2) AS ymax,
+              round(2.2 * (b - a) / (1.8 * (d - c)), 6) AS aspect
+       FROM (SELECT min(ox) AS a, max(ox) AS b, min(oy) AS c, max(oy) AS d FROM summary_points)""",
+)
+def _(spark, sf):
+    _, box = figures.flyway_map(hub_summary(spark, sf))
+    return rounded(rounded(box, "xmin", "xmax", "ymin", "ymax", places=2), "aspect")
+
+
 # --- tagging effort ----------------------------------------------------------
 
 CTES["deployed"] = """
@@ -786,6 +819,21 @@ def _(spark, sf):
     )
 
 
+CTES["route_points"] = _ORTHO.format(
+    lon='"X"', lat='"Y"', source="tagged JOIN chosen ON tag_site = site AND individual_local_identifier = bird"
+)
+
+
+@query(
+    "route_map",
+    """SELECT tag_site, individual_local_identifier, timestamp, round(ox, 2) AS x, round(oy, 2) AS y
+       FROM route_points""",
+)
+def _(spark, sf):
+    points, _ = figures.route_map(v.fixes(spark, sf), *PERIOD)
+    return rounded(points.select("tag_site", ID, "timestamp", "x", "y"), "x", "y", places=2)
+
+
 # --- regions -----------------------------------------------------------------
 
 # Outlines: region, ring, corners. The square and the L overlap; the frame has a

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackuse.config import Config
 from trackuse.fixed_values import REFERENCE_POINTS
+from trackuse.sources.staging import stage
 
 # Places the animals move between: the named places, then two breeding grounds.
 HUBS = [(lon, lat) for _, lat, lon in REFERENCE_POINTS] + [(5.5, 52.5), (8.4, 53.2)]
@@ -30,10 +31,31 @@ TAXON = (
 )
 
 
+_LANDED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def landed(view):
+    """Write a view to the shared folder once per session, as an export would lie there.
+
+    Without this every filter would be pushed into, and repeat, the expressions
+    that turn the given tables into tracking data.
+    """
+
+    def read(spark: SparkSession, sf: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf, view.__name__)
+        if key not in _LANDED:
+            df, cores = view(spark, sf), spark.sparkContext.defaultParallelism
+            few = df.rdd.getNumPartitions() < cores
+            _LANDED[key] = stage(df.repartition(cores) if few else df, view.__name__)
+        return _LANDED[key].select("*")
+
+    return read
+
+
 def _spark_list(values) -> str:
     return "array(" + ", ".join(f"{v}D" for v in values) + ")"
 
@@ -42,6 +64,7 @@ def _duck_list(values) -> str:
     return "[" + ", ".join(f"{v}::DOUBLE" for v in values) + "]"
 
 
+@landed
 def fixes(spark: SparkSession, sf: str) -> DataFrame:
     """lineitem as locations: suppliers are animals, part orders their fixes."""
     lon, lat = _spark_list(h[0] for h in HUBS), _spark_list(h[1] for h in HUBS)
@@ -53,12 +76,11 @@ def fixes(spark: SparkSession, sf: str) -> DataFrame:
             "concat('B', CAST(l_suppkey AS STRING)) AS individual_local_identifier",
             f"element_at({lon}, hub + 1) + ((l_orderkey * 53) % 200 - 100) / 5e2 AS X",
             f"element_at({lat}, hub + 1) + ((l_partkey * 37) % 200 - 100) / 5e2 AS Y",
-            "CASE WHEN hour(ts) = 0 THEN date_format(ts, 'yyyy-MM-dd') "
-            "ELSE date_format(ts, 'yyyy-MM-dd HH:mm:ss') END AS timestamp",
+            "CASE WHEN l_linenumber = 7 THEN CAST(CAST(ts AS DATE) AS STRING) ELSE CAST(ts AS STRING) END AS timestamp",
             f"{STUDY_SITE} AS study_site",
             f"{STUDY_NAME} AS study_name",
             f"{SPEED} AS ground_speed",
-            "date_format(date_add(DATE'1995-03-01', CAST(l_suppkey * 37 % 2000 AS INT)), 'yyyy-MM-dd') "
+            "CAST(date_add(DATE'1995-03-01', CAST(l_suppkey * 37 % 2000 AS INT)) AS STRING) "
             "AS deploy_on_timestamp",
             f"{TAXON} AS taxon_detail",
             "hub",
@@ -66,6 +88,7 @@ def fixes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@landed
 def event_fixes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").selectExpr(
         "concat('U', CAST(user_id AS STRING)) AS individual_local_identifier",
@@ -77,6 +100,7 @@ def event_fixes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@landed
 def order_fixes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").selectExpr(
         "concat('C', CAST(o_custkey AS STRING)) AS individual_local_identifier",
@@ -87,6 +111,7 @@ def order_fixes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@landed
 def studies(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").selectExpr(
         "s_suppkey AS id",
@@ -96,6 +121,7 @@ def studies(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@landed
 def raw_fixes(spark: SparkSession, sf: str) -> DataFrame:
     """Fixes before import: some animals unnamed, some columns always empty."""
     return (
@@ -114,6 +140,7 @@ def raw_fixes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@landed
 def deployments(spark: SparkSession, sf: str) -> DataFrame:
     """One or two deployments per supplier."""
     return (

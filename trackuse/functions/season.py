@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 _DAY = r"\d{4}-\d{1,2}-\d{1,2}"
 _CLOCK = r"\d{1,2}:\d{1,2}:\d{1,2}(\.\d+)?"
-_UNZONED = rf"^\s*{_DAY}([ T]{_CLOCK}Z?)?\s*$"
-_ZONED = rf"^\s*{_DAY}[ T]{_CLOCK}[+-]\d{{2}}:?\d{{2}}\s*$"
+_UTC = rf"^\s*{_DAY}([ T]{_CLOCK}Z?)?\s*$"
+_OFFSET = rf"^\s*{_DAY}[ T]{_CLOCK}[+-]\d{{2}}:\d{{2}}\s*$"
 
 
 def parse_timestamp(c: Column | str) -> Column:
@@ -23,13 +23,8 @@ def parse_timestamp(c: Column | str) -> Column:
     patterns keep Spark's looser cast from accepting a bare year or month.
     """
     c = F.col(c) if isinstance(c, str) else c
-    offset = F.regexp_replace(c, r"([+-]\d{2})(\d{2})\s*$", "$1:$2")
-    return F.when(
-        c.rlike(_UNZONED), F.regexp_replace(c, "Z", "").try_cast("timestamp_ntz")
-    ).when(
-        c.rlike(_ZONED),
-        F.convert_timezone(None, F.lit("UTC"), offset.try_cast("timestamp").cast("timestamp_ntz")),
-    )
+    shifted = F.convert_timezone(None, F.lit("UTC"), c.try_cast("timestamp").cast("timestamp_ntz"))
+    return F.when(c.rlike(_UTC), c.try_cast("timestamp_ntz")).when(c.rlike(_OFFSET), shifted)
 
 
 def as_utc(df: DataFrame, name: str) -> Column:

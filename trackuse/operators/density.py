@@ -195,12 +195,12 @@ def _block_links(blocks: DataFrame, side: int, radius_sq: int) -> DataFrame:
 def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``node`` to ``label``, the smallest node it is linked to, over any path.
 
-    Each round takes the smallest label next door and then follows labels of
+    ``nodes`` should be staged. Each round takes the smallest label next door and then follows labels of
     labels, so rounds grow with the logarithm of the chain length. One number
     per round comes back to the driver: whether anything changed.
     """
     both = stage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = stage(nodes.select("node", F.col("node").alias("label")), "labels")
+    labels = nodes.select("node", F.col("node").alias("label"))
     while True:
         beside = (
             both.join(labels, F.col("b") == F.col("node"))

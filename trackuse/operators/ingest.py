@@ -11,6 +11,7 @@ from trackuse.fixed_values import DROPPED_COLUMNS, EXCLUDED_TAXA, LEADING_COLUMN
 from trackuse.functions.season import as_utc
 from trackuse.operators.ordering import first_n_per_group, no_nan, same_key
 from trackuse.operators.outliers import drop_outliers, flag_outliers
+from trackuse.sources.staging import stage
 from trackuse.sources.tables import union_studies
 
 __all__ = [
@@ -120,7 +121,8 @@ def clean_import(
     empty = [c for c in fixes.columns if c not in kept]
     tidy = joined.drop(*[c for c in empty if c not in STUDY_KEYS])
     unique = dedup_first(tidy, [*on, "timestamp"])
-    shaped = exclude_taxa(reorder(drop_any(unique, drop)), values=taxa)
+    # read twice below: to find long individuals, and for the windows
+    shaped = stage(exclude_taxa(reorder(drop_any(unique, drop)), values=taxa), "imported")
     flagged = flag_outliers(
         shaped, "individual_local_identifier", ["timestamp"], ["Y", "X"], split_rows=split_rows
     )

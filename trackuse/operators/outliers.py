@@ -78,7 +78,8 @@ def flag_outliers(
 
     ``order[0]`` is the time column. The flag is null when any window is not
     full or has no spread. Individuals above ``split_rows`` rows are computed
-    in overlapping time slices, with the same result.
+    in overlapping time slices, with the same result. Finding them takes a pass
+    of its own, so stage ``df`` if it is costly to compute.
     """
     half = width // 2
     names = df.columns
