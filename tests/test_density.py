@@ -1,0 +1,122 @@
+import random
+
+import pytest
+from conftest import rows
+
+from trackuse.operators.density import _block_links, _components, _core_blocks, assign_sites, dbscan, neighbour_count
+
+
+def brute_force(cells, r2, min_pts):
+    """Textbook density clustering: scan in order, grow each cluster fully."""
+    cells = sorted(cells)
+    near = {a: [b for b in cells if (a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2 <= r2] for a in cells}
+    label, number = dict.fromkeys(cells, 0), 0
+    for start in cells:
+        if label[start] or len(near[start]) < min_pts:
+            continue
+        number += 1
+        queue = [start]
+        label[start] = number
+        while queue:
+            at = queue.pop()
+            if len(near[at]) < min_pts:
+                continue
+            for b in near[at]:
+                if not label[b]:
+                    label[b] = number
+                    queue.append(b)
+    return label, {c: len(n) for c, n in near.items()}
+
+
+def layout(seed, centres, n, spread, far):
+    rnd = random.Random(seed)
+    places = [(rnd.randint(-far, far), rnd.randint(-far, far)) for _ in range(centres)]
+    cells = set()
+    for _ in range(n):
+        x, y = rnd.choice(places)
+        cells.add((round(rnd.gauss(x, spread)), round(rnd.gauss(y, spread))))
+    return cells
+
+
+def frame(spark, cells):
+    return spark.createDataFrame(list(cells), "gx bigint, gy bigint")
+
+
+@pytest.mark.parametrize(
+    "seed, radius, min_pts, centres, n, spread, far",
+    [
+        (1, 12, 60, 3, 700, 10, 60),
+        (2, 12, 45, 4, 800, 14, 45),
+        (3, 5, 12, 6, 600, 8, 300),
+        (4, 2, 4, 8, 500, 6, 40),
+        (5, 1, 3, 5, 300, 4, 20),
+        (6, 7.5, 20, 5, 600, 9, 50),
+        (7, 3, 1, 6, 150, 15, 90),
+    ],
+)
+def test_equals_brute_force(spark, seed, radius, min_pts, centres, n, spread, far):
+    cells = layout(seed, centres, n, spread, far)
+    want, counts = brute_force(cells, int(radius * radius), min_pts)
+    df = frame(spark, cells)
+    assert {(x, y): k for x, y, k in rows(neighbour_count(df, radius))} == counts
+    assert {(x, y): k for x, y, k in rows(neighbour_count(df, radius, "sweep"))} == counts
+    assert {(x, y): s for x, y, s in rows(dbscan(df, radius, min_pts).select("gx", "gy", "site_id"))} == want
+
+
+def test_distance_equal_to_radius_counts(spark):
+    # 72, 96, 120 is a right triangle
+    cells = [(0, 0), (72, 96), (73, 96), (0, -120), (0, 121)]
+    got = {(x, y): k for x, y, k in rows(neighbour_count(frame(spark, cells), 120))}
+    assert got[(0, 0)] == 3
+    assert got[(0, 121)] == 3
+
+
+def test_contested_border_cell_goes_to_the_lower_number(spark):
+    left = [(0, y) for y in range(4)] + [(-1, y) for y in range(4)]
+    right = [(6, y) for y in range(4)] + [(7, y) for y in range(4)]
+    cells = [*left, *right, (3, 1)]
+    want, _ = brute_force(cells, 9, 7)
+    got = {(x, y): s for x, y, s in rows(dbscan(frame(spark, cells), 3, 7).select("gx", "gy", "site_id"))}
+    assert got == want
+    assert set(want.values()) == {1, 2} and want[(3, 1)] == 1
+
+
+def test_long_chain_is_one_cluster(spark):
+    cells = [(3 * i, i % 2) for i in range(400)]
+    got = {s for _, _, s in rows(dbscan(frame(spark, cells), 4, 2).select("gx", "gy", "site_id"))}
+    assert got == {1}
+
+
+def test_all_noise(spark):
+    cells = [(0, 0), (100, 0), (0, 100)]
+    assert {s for _, _, s in rows(dbscan(frame(spark, cells), 5, 2).select("gx", "gy", "site_id"))} == {0}
+
+
+def test_blocks_link_exactly_when_cells_are_close(spark):
+    cells = layout(11, 5, 300, 7, 30)
+    side, r2 = 5, 36
+    blocks = _core_blocks(frame(spark, cells), side)
+    names = {r["node"]: (r["bx"], r["by"]) for r in blocks.collect()}
+    got = {frozenset((names[a], names[b])) for a, b in rows(_block_links(blocks, side, r2))}
+    want = {
+        frozenset(((a[0] // side, a[1] // side), (b[0] // side, b[1] // side)))
+        for a in cells
+        for b in cells
+        if (a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2 <= r2
+    }
+    assert got == {w for w in want if len(w) == 2}
+
+
+def test_components_of_a_path_and_a_ring(spark):
+    links = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (102, 100)]
+    nodes = spark.createDataFrame([(i,) for i in [*range(1, 41), 100, 101, 102, 200]], "node bigint")
+    got = dict(rows(_components(nodes, spark.createDataFrame(links, "a bigint, b bigint"))))
+    assert {got[i] for i in range(1, 41)} == {1}
+    assert {got[i] for i in (100, 101, 102)} == {100}
+    assert got[200] == 200
+
+
+def test_noise_fixes_are_removed(spark):
+    fixes = spark.createDataFrame([(1, 0, 0), (2, 5, 5), (3, 9, 9)], "id int, gx bigint, gy bigint")
+    labelled = spark.createDataFrame([(0, 0, 2), (5, 5, 0)], "gx bigint, gy bigint, site_id int")
+    assert rows(assign_sites(fixes, labelled).select("id", "site_id")) == [(1, 2)]

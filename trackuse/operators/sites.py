@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trackuse.fixed_values import REFERENCE_POINTS
 from trackuse.functions.project import mercator
 from trackuse.operators.ordering import no_nan
+from trackuse.sources.staging import stage
 
 
 def grouped_median(
@@ -17,10 +18,11 @@ def grouped_median(
 ) -> DataFrame:
     """Exact median per group (mean of the two middle values), nulls ignored.
 
-    Values are counted per group first. Bin totals then locate the one or two
-    bins that hold the middle ranks, and only values of those bins are ranked.
-    No task ever holds all values of a group; the bins of one group are limited
-    by the value range over ``bin_width``.
+    Values are counted per group first; the counts are staged, as they are read
+    twice. Bin totals then locate the one or two bins that hold the middle
+    ranks, and only values of those bins are ranked. No task ever holds all
+    values of a group; the bins of one group are limited by the value range over
+    ``bin_width``.
     """
     values = F.inline(
         F.array(*[F.struct(F.lit(c).alias("axis"), no_nan(df, c).alias("value")) for c in cols])
@@ -31,6 +33,7 @@ def grouped_median(
         .agg(F.count("value").alias("n"))
         .withColumn("bin", F.floor(F.col("value") / bin_width))
     )
+    counted = stage(counted, "value-counts")
     along = Window.partitionBy(key, "axis")
     upto = along.orderBy(F.col("bin").asc_nulls_last())
     bins = (
