@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +39,7 @@ from trackuse.operators.ordering import first_n_per_group
 from trackuse.plans import figures
 from trackuse.plans.site_use import find_sites, site_tables
 from trackuse.sources.staging import shared_dir, stage
-from trackuse.sources.tables import read_studies
+from trackuse.sources.tables import read_studies, write_locations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,8 +129,8 @@ def _(spark, sf):
         part = base.filter(F.col("study_name") == study).drop("study_name")
         if study == "Other":
             part = part.drop("taxon_detail")
-        paths[study] = f"{shared_dir(spark)}/landed-{i}-{spark.sparkContext.startTime}-{id(paths)}"
-        part.write.mode("overwrite").option("header", True).option("nullValue", "NA").csv(paths[study])
+        paths[study] = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}-{i}"
+        write_locations(part, paths[study], "csv")
     return read_studies(spark, paths)
 
 

@@ -6,7 +6,7 @@ import sys
 import time
 
 import duckdb
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from checks.catalog import ORACLES, QUERIES
 
@@ -52,8 +52,8 @@ def sorted_rows(rows, columns) -> list[tuple]:
     return sorted(tuple(c) for c in cells)
 
 
-def compare(spark: SparkSession, con, sf: str, name: str) -> str:
-    df = QUERIES[name](spark, sf)
+def compare(con, name: str, df: DataFrame) -> str:
+    """``ok``, ``rows only`` or ``FAIL``, with details."""
     got = [tuple(r) for r in df.collect()]
     if name not in ORACLES:
         return f"rows only: {len(got)}"
@@ -81,7 +81,7 @@ def main() -> None:
     for name in names:
         t = time.time()
         try:
-            outcome = compare(spark, con, sf, name)
+            outcome = compare(con, name, QUERIES[name](spark, sf))
         except Exception as e:  # report and go on with the next query
             outcome = f"FAIL {type(e).__name__}: {str(e)[:600]}"
         failed += outcome.startswith("FAIL")

@@ -84,12 +84,15 @@ def write_locations(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 def write_outputs(
     tables: Mapping[str, DataFrame], directory: str, partition_by: Mapping[str, str] | None = None
 ) -> None:
-    """One Parquet folder per table, partitioned where asked."""
+    """One Parquet folder per table, partitioned where asked.
+
+    Rebalancing gathers each partition value into few files, and splits a value
+    that is too large for one task.
+    """
     for name, df in tables.items():
-        writer = df.write.mode("overwrite")
-        if partition_by and name in partition_by:
-            writer = writer.partitionBy(partition_by[name])
-        writer.parquet(f"{directory}/{name}")
+        column = (partition_by or {}).get(name)
+        writer = (df.hint("rebalance", column) if column else df).write.mode("overwrite")
+        (writer.partitionBy(column) if column else writer).parquet(f"{directory}/{name}")
 
 
 def read_output(spark: SparkSession, directory: str, name: str) -> DataFrame:
