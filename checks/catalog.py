@@ -470,7 +470,7 @@ def _(spark, sf):
     "SELECT site_id, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude FROM centres",
 )
 def _(spark, sf):
-    centres = sites.site_centres(hub_fixes(spark, sf))
+    centres = sites.site_centres(stage(hub_fixes(spark, sf), "hub-fixes"))
     return rounded(centres, "longitude", "latitude")
 
 
@@ -479,7 +479,7 @@ def _(spark, sf):
     """SELECT site_id, site_name, round(match_dist_km, 6) AS match_dist_km FROM named""",
 )
 def _(spark, sf):
-    named = sites.nearest_reference(sites.site_centres(hub_fixes(spark, sf)))
+    named = sites.nearest_reference(sites.site_centres(stage(hub_fixes(spark, sf), "hub-fixes")))
     return rounded(named.select("site_id", "site_name", "match_dist_km"), "match_dist_km")
 
 
@@ -489,7 +489,7 @@ def _(spark, sf):
     odd = F.pmod(F.rint(F.col("X") * 500).cast("bigint"), F.lit(2))
     signed = F.when(F.col("X") < 0, -odd).otherwise(odd)
     split = hub_fixes(spark, sf).withColumn("site_id", F.col("site_id") * 2 + signed)
-    named = sites.nearest_reference(sites.site_centres(split))
+    named = sites.nearest_reference(sites.site_centres(stage(split, "split-fixes")))
     return sites.label_duplicates(named).select("site_id", "site_name", "site_label")
 
 

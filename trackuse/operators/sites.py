@@ -18,54 +18,49 @@ def grouped_median(
 ) -> DataFrame:
     """Exact median per group (mean of the two middle values), nulls ignored.
 
-    Values are counted per group first; the counts are staged, as they are read
-    twice. Bin totals then locate the one or two bins that hold the middle
-    ranks, and only values of those bins are ranked. No task ever holds all
-    values of a group; the bins of one group are limited by the value range over
-    ``bin_width``.
+    A first pass counts values per bin, which combines before the shuffle, and
+    locates the one or two bins that hold the middle ranks. A second pass ranks
+    the values of those bins only. No task ever holds all values of a group; the
+    bins of one group are limited by the value range over ``bin_width``. ``df``
+    is read twice, so stage it if it is costly to compute.
     """
-    values = F.inline(
-        F.array(*[F.struct(F.lit(c).alias("axis"), no_nan(df, c).alias("value")) for c in cols])
+    pairs = [F.struct(F.lit(c).alias("axis"), no_nan(df, c).alias("value")) for c in cols]
+    values = df.select(key, F.inline(F.array(*pairs))).withColumn(
+        "bin", F.floor(F.col("value") / bin_width)
     )
-    counted = (
-        df.select(key, values)
-        .groupBy(key, "axis", "value")
-        .agg(F.count("value").alias("n"))
-        .withColumn("bin", F.floor(F.col("value") / bin_width))
-    )
-    counted = stage(counted, "value-counts")
     along = Window.partitionBy(key, "axis")
-    upto = along.orderBy(F.col("bin").asc_nulls_last())
     bins = (
-        counted.groupBy(key, "axis", "bin")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("upto", F.sum("n").over(upto))
+        values.groupBy(key, "axis", "bin")
+        .agg(F.count("value").alias("n"))
+        .withColumn("upto", F.sum("n").over(along.orderBy(F.col("bin").asc_nulls_last())))
         .withColumn("total", F.sum("n").over(along))
+        .withColumn("start", F.col("upto") - F.col("n"))
         # the two middle ranks; equal when the total is odd
         .withColumn("low", F.expr("(total + 1) div 2"))
         .withColumn("high", F.expr("(total + 2) div 2"))
     )
-    start = F.col("upto") - F.col("n")
-    middle = bins.filter((F.col("upto") >= F.col("low")) & (start < F.col("high")) & (F.col("n") > 0))
-    middle = middle.select(key, "axis", "bin", start.alias("start"), "low", "high")
+    holds_middle = (F.col("n") > 0) & (F.col("upto") >= F.col("low")) & (F.col("start") < F.col("high"))
+    # groups without any value keep a row
+    middle = bins.filter(holds_middle | (F.col("total") == 0))
+    middle = stage(middle.select(key, "axis", "bin", "start", "low", "high"), "middle-bins")
     inside = Window.partitionBy(key, "axis", "bin").orderBy("value")
+
+    def at_rank(rank: str):
+        return F.max(F.when(F.col(rank).between(F.col("first"), F.col("last")), F.col("value")))
+
     picked = (
-        counted.join(middle, [key, "axis", "bin"])
+        values.join(middle, [key, "axis", "bin"])
+        .groupBy(key, "axis", "bin", "start", "low", "high", "value")
+        .agg(F.count("*").alias("n"))
         .withColumn("last", F.col("start") + F.sum("n").over(inside))
         .withColumn("first", F.col("last") - F.col("n") + 1)
-        .withColumn("takes_low", (F.col("first") <= F.col("low")) & (F.col("low") <= F.col("last")))
-        .withColumn("takes_high", (F.col("first") <= F.col("high")) & (F.col("high") <= F.col("last")))
         .groupBy(key, "axis")
-        .agg(
-            F.max(F.when(F.col("takes_low"), F.col("value"))).alias("lo"),
-            F.max(F.when(F.col("takes_high"), F.col("value"))).alias("hi"),
-        )
-        .withColumn("median", (F.col("lo") + F.col("hi")) / 2)
+        .agg(((at_rank("low") + at_rank("high")) / 2).alias("median"))
     )
-    # groups without any value keep a row
-    groups = bins.select(key, "axis").distinct()
     return (
-        groups.join(picked, [key, "axis"], "left")
+        middle.select(key, "axis")
+        .distinct()
+        .join(picked, [key, "axis"], "left")
         .groupBy(key)
         .agg(*[F.max(F.when(F.col("axis") == c, F.col("median"))).alias(c) for c in cols])
     )
