@@ -431,14 +431,7 @@ def _(spark, sf):
     return _cells(spark, sf, CFG)[1]
 
 
-_NEIGHBOURS = """
-    SELECT a.gx, a.gy, count(*) AS neighbours
-    FROM (SELECT *, gx // 120 AS bx, gy // 120 AS by FROM fine_cells) a
-    JOIN (SELECT gx, gy, gx // 120 + i AS bx, gy // 120 + j AS by FROM fine_cells,
-          (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)) b
-    ON a.bx = b.bx AND a.by = b.by
-    WHERE (a.gx - b.gx) * (a.gx - b.gx) + (a.gy - b.gy) * (a.gy - b.gy) <= 14400
-    GROUP BY 1, 2"""
+_NEIGHBOURS = "SELECT gx, gy, count(*) AS neighbours FROM fine_pairs GROUP BY 1, 2"
 
 
 @query("neighbour_count", _NEIGHBOURS)
@@ -456,9 +449,8 @@ def _(spark, sf):
     return density.dbscan(_cells(spark, sf, COARSE)[1], COARSE.eps_cells, COARSE.min_pts)
 
 
-@query("dbscan_250m")
+@query("dbscan_250m", "SELECT gx, gy, site_id FROM fine_labelled")
 def _(spark, sf):
-    """The fine lattice; too many cell pairs for recursive SQL."""
     return density.dbscan(_cells(spark, sf, CFG)[1], CFG.eps_cells, CFG.min_pts)
 
 

@@ -15,7 +15,7 @@ HUBS = [(lon, lat) for _, lat, lon in REFERENCE_POINTS] + [(5.5, 52.5), (8.4, 53
 # The tables span 1995-2001.
 CFG = Config(start="1995-06-01", end="2001-06-01")
 # A coarse lattice, so that plain recursive SQL can cluster it too.
-COARSE = Config(start="1995-06-01", end="2001-06-01", grid_m=5_000.0, eps_m=30_000.0, min_pts=60)
+COARSE = Config(start="1995-06-01", end="2001-06-01", grid_m=5_000.0, eps_m=30_000.0, min_pts=70)
 
 HUB = "(l_suppkey * 7 + CASE WHEN l_suppkey % 4 = 0 THEN 0 ELSE month(l_shipdate) END) % 14"
 STUDY_SITE = (
@@ -38,6 +38,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _exists(spark: SparkSession, file: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def landed(view):
     """Write a view to the shared folder once per session, as an export would lie there.
 
@@ -47,7 +52,7 @@ def landed(view):
 
     def read(spark: SparkSession, sf: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf, view.__name__)
-        if key not in _LANDED:
+        if key not in _LANDED or not _exists(spark, _LANDED[key].inputFiles()[0]):
             df, cores = view(spark, sf), spark.sparkContext.defaultParallelism
             few = df.rdd.getNumPartitions() < cores
             _LANDED[key] = stage(df.repartition(cores) if few else df, view.__name__)
@@ -326,30 +331,49 @@ CTES |= {
     "coarse_fixes": """
         SELECT *, CAST(round_even(mx / 5000.0, 0) AS BIGINT) AS gx, CAST(round_even(my / 5000.0, 0) AS BIGINT) AS gy
         FROM mercator_fixes""",
-    "cells": "SELECT DISTINCT gx, gy FROM coarse_fixes",
-    "near_pairs": """
-        SELECT a.gx, a.gy, b.gx AS hx, b.gy AS hy FROM cells a JOIN cells b
-        ON b.gx BETWEEN a.gx - 6 AND a.gx + 6
-           AND (a.gx - b.gx) * (a.gx - b.gx) + (a.gy - b.gy) * (a.gy - b.gy) <= 36""",
-    "core": "SELECT gx, gy FROM near_pairs GROUP BY 1, 2 HAVING count(*) >= 60",
-    "core_pairs": """
-        SELECT p.* FROM near_pairs p JOIN core a ON p.gx = a.gx AND p.gy = a.gy
-        JOIN core b ON p.hx = b.gx AND p.hy = b.gy""",
-    "reached": """
-        SELECT gx, gy, gx AS hx, gy AS hy FROM core
-        UNION
-        SELECT r.gx, r.gy, p.hx, p.hy FROM reached r JOIN core_pairs p ON r.hx = p.gx AND r.hy = p.gy""",
-    "roots": "SELECT gx, gy, min((hx, hy)) AS root FROM reached GROUP BY 1, 2",
-    "core_sites": "SELECT gx, gy, CAST(dense_rank() OVER (ORDER BY root) AS INTEGER) AS site_id FROM roots",
-    "labelled": """
-        SELECT c.gx, c.gy, coalesce(k.site_id, (
-                   SELECT min(s.site_id) FROM near_pairs p JOIN core_sites s ON p.hx = s.gx AND p.hy = s.gy
-                   WHERE p.gx = c.gx AND p.gy = c.gy), 0) AS site_id
-        FROM cells c LEFT JOIN core_sites k ON c.gx = k.gx AND c.gy = k.gy""",
     "clustered_fixes": """
         SELECT f.*, l.site_id FROM coarse_fixes f JOIN labelled l ON f.gx = l.gx AND f.gy = l.gy
         WHERE l.site_id <> 0""",
 }
+
+
+def cluster_ctes(p: str, cells: str, radius_sq: int, block: int, min_pts: int) -> dict[str, str]:
+    """Sub-queries that label the cells of ``cells``; ``p`` prefixes names.
+
+    Clusters are whatever is reached from a core cell over pairs of core cells.
+    """
+    return {
+        f"{p}pairs": f"""
+            SELECT a.gx, a.gy, b.gx AS hx, b.gy AS hy
+            FROM (SELECT gx, gy, gx // {block} AS bx, gy // {block} AS by FROM {cells}) a
+            JOIN (SELECT gx, gy, gx // {block} + i AS bx, gy // {block} + j AS by FROM {cells},
+                  (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)) b
+            ON a.bx = b.bx AND a.by = b.by
+            WHERE (a.gx - b.gx) * (a.gx - b.gx) + (a.gy - b.gy) * (a.gy - b.gy) <= {radius_sq}""",
+        f"{p}core": f"SELECT gx, gy FROM {p}pairs GROUP BY 1, 2 HAVING count(*) >= {min_pts}",
+        f"{p}core_pairs": f"""
+            SELECT p.* FROM {p}pairs p JOIN {p}core a ON p.gx = a.gx AND p.gy = a.gy
+            JOIN {p}core b ON p.hx = b.gx AND p.hy = b.gy""",
+        f"{p}reached": f"""
+            SELECT gx, gy, gx AS hx, gy AS hy FROM {p}core
+            UNION
+            SELECT r.gx, r.gy, p.hx, p.hy FROM {p}reached r JOIN {p}core_pairs p ON r.hx = p.gx AND r.hy = p.gy""",
+        f"{p}roots": f"SELECT gx, gy, min((hx, hy)) AS root FROM {p}reached GROUP BY 1, 2",
+        f"{p}core_sites": f"""
+            SELECT gx, gy, CAST(dense_rank() OVER (ORDER BY root) AS INTEGER) AS site_id FROM {p}roots""",
+        f"{p}labelled": f"""
+            SELECT c.gx, c.gy, coalesce(k.site_id, b.site_id, 0) AS site_id
+            FROM (SELECT DISTINCT gx, gy FROM {cells}) c
+            LEFT JOIN {p}core_sites k ON c.gx = k.gx AND c.gy = k.gy
+            LEFT JOIN (SELECT p.gx, p.gy, min(s.site_id) AS site_id
+                       FROM {p}pairs p JOIN {p}core_sites s ON p.hx = s.gx AND p.hy = s.gy GROUP BY 1, 2) b
+            ON c.gx = b.gx AND c.gy = b.gy""",
+    }
+
+
+CTES |= cluster_ctes("", "coarse_cells", 36, 6, 70)
+CTES |= cluster_ctes("fine_", "fine_cells", 14400, 120, 1500)
+CTES["coarse_cells"] = "SELECT DISTINCT gx, gy FROM coarse_fixes"
 CTES |= site_ctes("clustered_fixes", "clustered_")
 
 CTES |= {

@@ -120,3 +120,10 @@ def test_noise_fixes_are_removed(spark):
     fixes = spark.createDataFrame([(1, 0, 0), (2, 5, 5), (3, 9, 9)], "id int, gx bigint, gy bigint")
     labelled = spark.createDataFrame([(0, 0, 2), (5, 5, 0)], "gx bigint, gy bigint, site_id int")
     assert rows(assign_sites(fixes, labelled).select("id", "site_id")) == [(1, 2)]
+
+
+def test_many_clusters_are_numbered_in_cell_order(spark):
+    cells = [(x * 700 - 3000, y * 50 - 100) for x in range(9) for y in range(5)]
+    df = frame(spark, random.Random(3).sample(cells, len(cells)))
+    got = [s for _, _, s in sorted(rows(dbscan(df, 3, 1).select("gx", "gy", "site_id")))]
+    assert got == list(range(1, 46))

@@ -95,3 +95,8 @@ def test_import_equals_join_then_dedup(spark):
     assert "note" in got.columns and "empty" not in got.columns and "nan" not in got.columns
     assert got.count() > 50
     assert sorted(map(repr, rows(got))) == sorted(map(repr, rows(want)))
+
+
+def test_column_filled_only_late_is_kept(spark):
+    df = spark.range(5_000).selectExpr("id", "CASE WHEN id = 4999 THEN 1.5D ELSE double('NaN') END AS late", "CAST(NULL AS INT) AS never")
+    assert drop_all_null(df).columns == ["id", "late"]

@@ -3,7 +3,8 @@
 All distances are between integer cells, so ``distance <= radius`` is exact.
 Work is cut into square tiles of the map. A tile and its halo hold a fixed
 number of cells at most, however many fixes fall into them, so no task can grow
-with the data.
+with the data. Its memory grows with the radius: 2 MB for counts at 120 cells,
+144 MB at 1,000.
 """
 
 from __future__ import annotations
@@ -225,13 +226,25 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def _number_clusters(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     """Blocks with ``site_id``: 1, 2, ... by each cluster's first core cell.
 
-    The numbering window sees one row per cluster. Clusters lie more than a
-    radius apart, so their number is limited by the size of the map.
+    First cells are ranked within vertical strips of the map, and each strip
+    starts after the clusters of the strips to its left. Only strip totals, one
+    row per strip, are added up in a single task.
     """
     placed = blocks.join(labels, "node").select("bx", "by", "label", "first_cell")
-    firsts = placed.groupBy("label").agg(F.min("first_cell").alias("first_cell"))
-    numbered = firsts.select(
-        "label", F.row_number().over(Window.orderBy("first_cell")).cast("int").alias("site_id")
+    firsts = (
+        placed.groupBy("label")
+        .agg(F.min("first_cell").alias("first_cell"))
+        .withColumn("strip", F.floor(F.col("first_cell.gx") / 1024))
+    )
+    before = Window.orderBy("strip").rowsBetween(Window.unboundedPreceding, -1)
+    strips = (
+        firsts.groupBy("strip")
+        .agg(F.count("*").alias("n"))
+        .select("strip", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    )
+    rank = F.row_number().over(Window.partitionBy("strip").orderBy("first_cell"))
+    numbered = firsts.join(strips, "strip").select(
+        "label", (F.col("before") + rank).cast("int").alias("site_id")
     )
     return placed.join(numbered, "label").select("bx", "by", "site_id")
 

@@ -59,13 +59,22 @@ def join_deployments(
     return fixes.join(named, same_key(fixes, named, pairs), "left").drop(*[b for _, b in pairs])
 
 
-def filled_columns(df: DataFrame) -> list[str]:
-    """Columns with a value in at least one row, found in one pass.
+def filled_columns(df: DataFrame, peek: int = 1_000) -> list[str]:
+    """Columns with a value in at least one row.
 
-    ``NaN`` is no value. Without rows no column is filled.
+    ``NaN`` is no value. Without rows no column is filled. A look at a few rows
+    settles most columns; only the others are then read over the whole table.
     """
-    flags = df.agg(*[F.max(no_nan(df, c).isNotNull()).alias(f"c{i}") for i, c in enumerate(df.columns)])
-    return [c for c, flag in zip(df.columns, flags.head()) if flag]
+
+    def filled(part: DataFrame, names: Sequence[str]) -> set[str]:
+        tests = [F.max(no_nan(part, c).isNotNull()).alias(f"c{i}") for i, c in enumerate(names)]
+        return {c for c, flag in zip(names, part.agg(*tests).head()) if flag}
+
+    found = filled(df.limit(peek), df.columns) if df.columns else set()
+    unsettled = [c for c in df.columns if c not in found]
+    if unsettled:
+        found |= filled(df.select(*[F.col(f"`{c}`") for c in unsettled]), unsettled)
+    return [c for c in df.columns if c in found]
 
 
 def drop_all_null(df: DataFrame) -> DataFrame:
