@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from trackuse.sources.staging import stage
@@ -200,7 +200,8 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     labels, so rounds grow with the logarithm of the chain length. One number
     per round comes back to the driver: whether anything changed.
     """
-    both = stage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = stage(links.select(F.inline(ways)), "links")
     labels = nodes.select("node", F.col("node").alias("label"))
     while True:
         beside = (
@@ -212,14 +213,13 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             "node", "label", F.least("label", "low").alias("low")
         )
         ahead = labels.select(F.col("node").alias("to"), F.col("label").alias("further"))
-        stepped = stage(
-            lowered.join(ahead, F.col("low") == F.col("to")).select(
-                "node", F.least("low", "further").alias("label"), F.col("label").alias("before")
-            ),
-            "labels",
+        stepped = lowered.join(ahead, F.col("low") == F.col("to")).select(
+            "node", F.least("low", "further").alias("label"), F.col("label").alias("before")
         )
-        labels = stepped.select("node", "label")
-        if stepped.filter(F.col("label") != F.col("before")).isEmpty():
+        seen = Observation()
+        changed = F.max(F.col("label") != F.col("before")).alias("changed")
+        labels = stage(stepped.observe(seen, changed), "labels").select("node", "label")
+        if not seen.get["changed"]:
             return labels
 
 

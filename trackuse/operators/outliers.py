@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackuse.functions.season import as_utc
 from trackuse.operators.ordering import total_order
 from trackuse.sources.staging import stage
 
 
-def _hour(ts: str) -> Column:
-    """Whole hours since 1970; rises with time whatever the session zone."""
+def _hour(ts: Column) -> Column:
+    """Whole hours since 1970; rises with time, as ``ts`` has no zone."""
     return F.datediff(ts, F.lit("1970-01-01").cast("date")).cast("bigint") * 24 + F.hour(ts)
 
 
@@ -22,7 +23,7 @@ def _with_slices(df: DataFrame, key: str, order: Sequence[str], cols, half: int,
     Returns rows with ``_slice`` and ``_extra`` (a row lent by a neighbouring
     slice), or None when no individual exceeds ``split_rows``.
     """
-    ts = order[0]
+    ts = as_utc(df, order[0])
     span = F.max(_hour(ts)) - F.min(_hour(ts)) + 1
     long_runs = (
         df.groupBy(F.col(key).alias("_key"))
