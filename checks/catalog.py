@@ -626,7 +626,7 @@ def _(spark, sf):
     "seasonal_profile",
     """SELECT s.site_id, s.site_name, s.site_label, CAST(d AS INTEGER) AS day_in_year, site_order,
               round(coalesce(prop, 0), 6) AS prop
-       FROM (SELECT *, CAST(row_number() OVER (ORDER BY latitude DESC) AS INTEGER) AS site_order FROM sites) s
+       FROM (SELECT *, CAST(row_number() OVER (ORDER BY round(latitude, 9) DESC, site_id) AS INTEGER) AS site_order FROM sites) s
        JOIN (SELECT DISTINCT site_id FROM daily) USING (site_id)
        CROSS JOIN (SELECT unnest(range(1, 367)) AS d)
        LEFT JOIN (SELECT site_id, day_in_year, avg(n_users / n_total) AS prop

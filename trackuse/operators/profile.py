@@ -48,8 +48,8 @@ def seasonal_profile(presence: DataFrame, sites: DataFrame, days: int = 366) ->
         .groupBy(*SITE, "day_in_year")
         .agg(F.avg("prop_present").alias("prop"))
     )
-    # one row per site
-    north = Window.orderBy(F.desc("latitude"), "site_id")
+    # one row per site; rounded so that equal latitudes tie, then by number
+    north = Window.orderBy(F.desc(F.round("latitude", 9)), "site_id")
     order = sites.select("site_id", F.row_number().over(north).alias("site_order"))
     return complete_days(mean, SITE, "prop", F.lit(0.0), days).join(order, "site_id", "left")
 
