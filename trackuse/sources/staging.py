@@ -19,19 +19,40 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if path:
         return path.rstrip("/")
-    if not sc.master.startswith("local"):
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="trackuse-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
+def application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/trackuse-{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 
-    All tables of one application lie in one folder, to be removed after it.
+    All tables of one application lie in one folder, to be removed after it
+    with ``cleanup``.
     """
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{shared_dir(spark)}/trackuse-{app}/{name}-{uuid.uuid4().hex}"
+    path = f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_path = path
+    return staged
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete a table made by ``stage`` that nothing reads any more."""
+    _delete(staged.sparkSession, staged.staged_path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete every staged table of this application."""
+    _delete(spark, application_dir(spark))
