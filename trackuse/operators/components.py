@@ -22,11 +22,11 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst") -
     rest = stage(_distinct(links.select(F.col(src).alias("a"), F.col(dst).alias("b"))), "links")
     rounds: list[DataFrame] = []
     while not rest.isEmpty():
-        rank = lambda c, salt=len(rounds): F.struct(F.xxhash64(F.lit(salt), c), c)
+        rank = lambda c, salt=len(rounds): F.struct(F.xxhash64(F.lit(salt), c).alias("rank"), c.alias("node"))
         both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("least"))
         own = rank(F.col("a"))
-        into = F.when(own < F.col("least"), F.col("a")).otherwise(F.col("least").getField("col2"))
+        into = F.when(own < F.col("least"), F.col("a")).otherwise(F.col("least").getField("node"))
         joined = stage(least.select(F.col("a").alias("node"), into.alias("into")), "joined")
         ends = (
             rest.join(joined.select(F.col("node").alias("a"), F.col("into").alias("x")), "a")
