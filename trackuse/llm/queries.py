@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trackuse.llm import fingerprints, simhash
+from trackuse.llm import bpe, fingerprints, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,6 +18,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def query(sql: str | None = None):
     def register(run):
         QUERIES[run.__name__] = run
@@ -31,6 +37,25 @@ def op1_fingerprints(spark, sf):
     return fingerprints.half_edited(table(spark, sf, "documents"))
 
 
+def token_digests(encoded: DataFrame) -> DataFrame:
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query()
+def op2_bpe(spark, sf):
+    return token_digests(bpe.encode_documents(table(spark, sf, "documents"), vocabulary()))
+
+
+@query()
+def op3_toxicity(spark, sf):
+    return toxicity.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query()
 def op10_simhash(spark, sf):
     return simhash.near_duplicate_components(table(spark, sf, "documents"))
