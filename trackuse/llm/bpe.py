@@ -113,7 +113,7 @@ class Codec:
         return found
 
     def encode(self, text: str) -> list[int]:
-        if not self.by_words:
+        if not text or not self.by_words:
             return self.whole(text)
         if len(self.known) > WORDS:
             self.known.clear()

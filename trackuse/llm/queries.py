@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackuse.llm import bpe, fingerprints, simhash, toxicity
+from trackuse.llm import bpe, decontamination, fingerprints, line_dedup, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +56,17 @@ def op3_toxicity(spark, sf):
     return toxicity.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query()
+def op5_decontamination(spark, sf):
+    return decontamination.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query()
+def op9_line_dedup(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return line_dedup.without_repeated_lines(docs)
+
+
 @query()
 def op10_simhash(spark, sf):
     return simhash.near_duplicate_components(table(spark, sf, "documents"))
