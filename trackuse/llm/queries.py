@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackuse.llm import bpe, decontamination, fingerprints, line_dedup, simhash, toxicity
+from trackuse.llm import bpe, chat, decontamination, fingerprints, licenses, line_dedup, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,11 +56,21 @@ def op3_toxicity(spark, sf):
     return toxicity.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query(chat.SQL)
+def op4_chat(spark, sf):
+    return chat.maximal_conversations(table(spark, sf, "conversations"))
+
+
 @query()
 def op5_decontamination(spark, sf):
     return decontamination.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query(licenses.oracle_sql())
+def op6_licenses(spark, sf):
+    return licenses.scan(table(spark, sf, "documents"))
+
+
 @query()
 def op9_line_dedup(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
