@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackuse.llm import bpe, chat, decontamination, fingerprints, licenses, line_dedup, simhash, toxicity
+from trackuse.llm import bpe, chat, decontamination, fingerprints, html_extraction, licenses, line_dedup, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,6 +71,12 @@ def op6_licenses(spark, sf):
     return licenses.scan(table(spark, sf, "documents"))
 
 
+@query()
+def op8_html(spark, sf):
+    texts = html_extraction.main_texts(table(spark, sf, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query()
 def op9_line_dedup(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
