@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackuse.llm import bpe, chat, decontamination, fingerprints, html_extraction, licenses, line_dedup, simhash, toxicity
+from trackuse.llm import bpe, chat, decontamination, fingerprints, html_extraction, licenses, line_dedup, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,6 +71,11 @@ def op6_licenses(spark, sf):
     return licenses.scan(table(spark, sf, "documents"))
 
 
+@query()
+def op7_quality(spark, sf):
+    return quality.judged(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query()
 def op8_html(spark, sf):
     texts = html_extraction.main_texts(table(spark, sf, "pages"))
