@@ -169,6 +169,6 @@ def without_repeated_lines(
     kept = stage(kept.groupBy(F.col("at.doc").alias("kept_doc")).agg(F.collect_list("at.line").alias("kept_lines")), "line-kept")
     joined = docs.join(kept, docs[id_col].eqNullSafe(kept["kept_doc"]), "left")
     blank = lambda line: F.size(_words(line)) == 0
-    stays = lambda line, i: F.array_contains(F.coalesce("kept_lines", F.array().cast("array<int>")), i) | blank(line)
+    stays = lambda line, i: F.array_contains(F.coalesce(kept["kept_lines"], F.array().cast("array<int>")), i) | blank(line)
     text = F.array_join(F.filter(F.split(docs[text_col], "\n"), stays), "\n")
     return joined.select(*[(text.alias(c) if c == text_col else docs[c]) for c in docs.columns])
