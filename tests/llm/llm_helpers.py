@@ -9,7 +9,8 @@ CLASHING = ["key", "fp", "label", "at", "line", "lines", "word", "words", "hash"
 
 
 def words(rng, n, vocabulary=4_000):
-    return " ".join(f"w{rng.randrange(vocabulary)}x" for _ in range(n))
+    """Made-up words of letters."""
+    return " ".join("w" + "".join(chr(ord("a") + int(d)) for d in str(rng.randrange(vocabulary))) for _ in range(n))
 
 
 def clash(df):

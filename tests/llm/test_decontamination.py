@@ -1,0 +1,54 @@
+import random
+
+from llm.llm_helpers import clash, words
+
+from trackuse.llm import decontamination as dc
+
+ITEM = "a farmer walks for 12 km with Anna and then Anna pays 30 dollars for two very old red books"
+
+
+def found(spark, documents, texts, items, share=0.5):
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
+    rows = dc.contaminated(clash(documents(texts)), clash(bench), share=share).collect()
+    return {(r.doc_id, r.item_id): (r.matched_windows, r.item_windows, r.changed_slots) for r in rows}
+
+
+def test_passages_inside_texts_against_brute_force(spark, documents, odd_texts):
+    rng = random.Random(30)
+    items = [words(rng, rng.randrange(4, 40)) for _ in range(12)]
+    texts = list(odd_texts)
+    for i in range(40):
+        parts = [words(rng, rng.randrange(0, 50))]
+        if i % 3 == 0:
+            parts.append(rng.choice(items).upper() if i % 2 else rng.choice(items))
+        texts.append(" ".join([*parts, words(rng, 20)]))
+    got = found(spark, documents, texts, [*items, "", None, "too short"])
+    squeeze = lambda t: " " + " ".join(dc.TOKEN.findall((t or "").lower())) + " "
+    whole = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if squeeze(x) in squeeze(t)}
+    assert whole and {k for k, v in got.items() if v[0] == v[1]} == whole == set(got)
+
+
+def test_changed_numbers_and_names_with_consistent_slots(spark, documents):
+    same = ITEM.replace("12", "7").replace("Anna", "Boris").replace("30", "99")
+    mixed = ITEM.replace("Anna", "Boris", 1)
+    merged = ITEM.replace("30", "12")
+    texts = [f"Before it. {t} after it" for t in (ITEM, same, mixed, merged, ITEM.replace("books", "chairs"))]
+    got = found(spark, documents, texts, [ITEM], share=1.0)
+    assert got[0, 0][2] == 0 and got[1, 0][2] == 3
+    assert {d for d, _ in got} == {0, 1}
+    assert {d for d, _ in found(spark, documents, texts, [ITEM])} == {0, 1, 4}
+
+
+def test_windows_of_slots_only_must_be_equal(spark, documents):
+    item = "the Rome Paris Berlin Madrid London Vienna Prague Lisbon Athens Dublin"
+    other = "the Turin Milan Naples Genoa Bari Pisa Siena Lecce Parma Trento"
+    assert set(found(spark, documents, [f"see {item}", f"see {other}"], [item])) == {(0, 0)}
+
+
+def test_no_rows_and_rows_that_stay(spark, documents):
+    assert found(spark, documents, [], [ITEM]) == {} == found(spark, documents, [ITEM], [])
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    docs = clash(documents([ITEM, "clean text", None, ""]))
+    docs = docs.unionByName(docs.where("doc_id = 1"))
+    kept = dc.without_contaminated(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 1, 2, 3]

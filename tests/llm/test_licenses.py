@@ -1,0 +1,46 @@
+from llm.llm_helpers import clash
+
+from trackuse.llm import licenses as li
+
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file
+"""
+
+
+def found(docs):
+    return {(r.doc_id, r.rule_id): (r.license, r.occurrences, r.sentences) for r in li.scan(clash(docs)).collect()}
+
+
+def sentence(name):
+    return next(s for i, s in li.SENTENCES if i == name)
+
+
+def test_sentences_and_ordered_rules(documents, odd_texts):
+    use, copy, see = map(sentence, ("apache2-use", "apache2-copy", "apache2-see"))
+    texts = odd_texts + [
+        "Some text. Released under the MIT License.",
+        "Licensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0. More",
+        f"{use}. {copy}!\nSomething else. {see.upper()}...",
+        f"{use}. {see}. {copy}",
+        "not Released under the MIT License, or so",
+    ]
+    n = len(odd_texts)
+    assert found(documents(texts)) == {
+        (n, "mit-line"): ("MIT", 1, 1),
+        (n + 1, "cc-by-nc-4.0-line"): ("CC-BY-NC-4.0", 2, 2),
+        (n + 2, "apache-2.0-header"): ("Apache-2.0", 1, 3),
+        (n + 3, "apache-2.0-use"): ("Apache-2.0", 1, 3),
+    }
+
+
+def test_rows_with_one_id_no_rows_and_null_ids(spark, documents):
+    assert found(documents([])) == {}
+    rows = [(1, "Released under the MIT License."), (1, "Released under the MIT License."), (None, "Licensed under CC BY 4.0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(docs) == {(1, "mit-line"): ("MIT", 1, 1), (None, "cc-by-4.0-line"): ("CC-BY-4.0", 1, 1)}
+    assert "Python" not in li.scan(docs)._jdf.queryExecution().toString()
+
+
+def test_every_sentence_is_in_its_normal_form(spark):
+    df = spark.createDataFrame([(s, s.upper() + ".  ") for _, s in li.SENTENCES], "a string, b string")
+    assert df.where(li.normalised(li.F.col("b")) != li.F.col("a")).count() == 0
+    assert {s for _, _, r in li.RULES for s in r} <= {i for i, _ in li.SENTENCES}

@@ -1,7 +1,7 @@
 """The main text of web pages: a linear-chain conditional random field over their text blocks.
 
 It is trained on pages that say themselves where their article is, in their own layout and
-in others: the same page with other containers, and with side bars, notices, forms and
+in others: the same page with other containers and headings, and with side bars, notices, forms and
 reader comments made of sentences of that page, so that the wording alone tells nothing.
 """
 
@@ -63,16 +63,23 @@ def layouts(page: str, seed: int) -> list[str]:
         }[kind]
         return f"<div data-main=0>{tags[int(pick.integers(0, len(tags)))]}</div>"
 
+    def varied(part: str, form: int) -> str:
+        """A part of the article under a heading, or as a quotation, a list or a figure."""
+        return [f"<h2>{some(6)}</h2>{part}", f"<blockquote>{part}</blockquote>", f"<ul><li>{some(9)}</li><li>{some(5)}</li></ul>{part}", f"<figure><figcaption>{some(8)}</figcaption></figure>{part}"][form]
+
     marked = page[: body.start()] + f"<article><div data-main=1>{body[1]}</div></article>" + page[body.end() :]
     found = [re.sub("(?i)<body", "<body data-main=0", marked)]
     kinds = list(OTHER)
+    parts = re.split(r"(?i)(?=<p\b)", body[1])
     for _ in range(3):
+        forms = [part if k >= 0.4 else varied(part, int(k * 10)) for part, k in zip(parts, pick.random(len(parts)), strict=True)]
+        article = "".join(forms) if pick.random() < 0.5 else re.sub(r"(?i)(</?)h1\b", r"\1h2", "".join(forms))
         name = MAIN_NAMES[int(pick.integers(0, len(MAIN_NAMES)))]
         before = "".join(other(kinds[int(k)]) for k in pick.integers(0, len(kinds), 3))
         within = "".join(other(k) for k in ("side", "notice", "ad", "form", "comment", "footer", "header") if pick.random() < 0.4)
         after = "".join(other(kinds[int(k)]) for k in pick.integers(0, len(kinds), 3))
-        place = body[1].rfind("<p>", 0, int(pick.integers(0, len(body[1]) + 1))) if pick.random() < 0.5 else -1
-        inner = body[1] + within if place < 0 else body[1][:place] + within + body[1][place:]
+        place = article.rfind("<p>", 0, int(pick.integers(0, len(article) + 1))) if pick.random() < 0.5 else -1
+        inner = article + within if place < 0 else article[:place] + within + article[place:]
         outer = [("<article>", "</article>"), ("<main>", "</main>"), (f"<div class='{name}'>", "</div>"), (f"<section id='{name}'>", "</section>")]
         start, end = outer[int(pick.integers(0, len(outer)))]
         found.append(f"<html><body data-main=0>{before}{start}<div data-main=1>{inner}</div>{end}{after}</body></html>")
