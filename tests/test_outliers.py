@@ -22,15 +22,15 @@ def walk(seed, n, bird, step):
     return out
 
 
-def test_time_slices_give_the_same_rows(spark):
+def test_slices_give_the_same_rows(spark):
     data = walk(1, 900, "hot", [30, 600, 7200, 90_000]) + walk(2, 40, "cold", [3600])
     data += walk(3, 300, None, [1]) + walk(4, 3, "short", [60])
-    data.append(("hot", None, 1.0, 2.0))
+    data += [("hot", None, float(k), 2.0) for k in range(200)] + [("busy", START, float(k), float(k * k)) for k in range(90)]
     df = table(spark, data)
     args = ("id", ["timestamp"], ["Y", "X"])
-    plain = rows(flag_outliers(df, *args))
-    for split_rows in (25, 120, 500):
-        sliced = rows(flag_outliers(df, *args, split_rows=split_rows))
+    plain = rows(flag_outliers(df, *args, slices=1))
+    for slices in (2, 5, 40, 300):
+        sliced = rows(flag_outliers(df, *args, slices=slices))
         assert len(sliced) == len(data)
         assert sorted(map(repr, sliced)) == sorted(map(repr, plain))
 

@@ -46,7 +46,11 @@ def select_studies(
 def join_deployments(
     fixes: DataFrame, deps: DataFrame, on: Sequence[str] = STUDY_KEYS, suffix: str = "_dep"
 ) -> DataFrame:
-    """Left join where null keys match and clashing names get ``suffix``."""
+    """Left join where null keys match and clashing names get ``suffix``.
+
+    Every fix without a name meets every deployment without one in its study;
+    reduce ``deps`` to one row per key first where that is not wanted.
+    """
     named = deps.select(
         *[F.col(k).alias(f"_key_{k}") for k in on],
         *[
@@ -59,22 +63,15 @@ def join_deployments(
     return fixes.join(named, same_key(fixes, named, pairs), "left").drop(*[b for _, b in pairs])
 
 
-def filled_columns(df: DataFrame, peek: int = 1_000) -> list[str]:
-    """Columns with a value in at least one row.
+def filled_columns(df: DataFrame) -> list[str]:
+    """Columns with a value in at least one row, found in one pass.
 
-    ``NaN`` is no value. Without rows no column is filled. A look at a few rows
-    settles most columns; only the others are then read over the whole table.
+    ``NaN`` is no value. Without rows no column is filled.
     """
-
-    def filled(part: DataFrame, names: Sequence[str]) -> set[str]:
-        tests = [F.max(no_nan(part, c).isNotNull()).alias(f"c{i}") for i, c in enumerate(names)]
-        return {c for c, flag in zip(names, part.agg(*tests).head()) if flag}
-
-    found = filled(df.limit(peek), df.columns) if df.columns else set()
-    unsettled = [c for c in df.columns if c not in found]
-    if unsettled:
-        found |= filled(df.select(*[F.col(f"`{c}`") for c in unsettled]), unsettled)
-    return [c for c in df.columns if c in found]
+    if not df.columns:
+        return []
+    tests = [F.max(no_nan(df, c).isNotNull()).alias(f"c{i}") for i, c in enumerate(df.columns)]
+    return [c for c, flag in zip(df.columns, df.agg(*tests).head()) if flag]
 
 
 def drop_all_null(df: DataFrame) -> DataFrame:
@@ -107,7 +104,6 @@ def clean_import(
     suffix: str = "_dep",
     drop: Sequence[str] = DROPPED_COLUMNS,
     taxa: Sequence[str] = EXCLUDED_TAXA,
-    split_rows: int = 5_000_000,
 ) -> DataFrame:
     """Fixes with deployment data, without duplicates, foreign taxa and outliers.
 
@@ -130,9 +126,6 @@ def clean_import(
     empty = [c for c in fixes.columns if c not in kept]
     tidy = joined.drop(*[c for c in empty if c not in STUDY_KEYS])
     unique = dedup_first(tidy, [*on, "timestamp"])
-    # read twice below: to find long individuals, and for the windows
+    # read twice below: to find even ranges, and to cut them
     shaped = stage(exclude_taxa(reorder(drop_any(unique, drop)), values=taxa), "imported")
-    flagged = flag_outliers(
-        shaped, "individual_local_identifier", ["timestamp"], ["Y", "X"], split_rows=split_rows
-    )
-    return drop_outliers(flagged)
+    return drop_outliers(flag_outliers(shaped, "individual_local_identifier", ["timestamp"], ["Y", "X"]))

@@ -4,50 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackuse.functions.season import as_utc
 from trackuse.operators.ordering import total_order
 from trackuse.sources.staging import stage
 
 
-def _hour(ts: Column) -> Column:
-    """Whole hours since 1970; rises with time, as ``ts`` has no zone."""
-    return F.datediff(ts, F.lit("1970-01-01").cast("date")).cast("bigint") * 24 + F.hour(ts)
+def _with_slices(df: DataFrame, key: str, order: Sequence[str], half: int, slices: int) -> DataFrame:
+    """Rows in even ranges of key and order, each lent ``half`` rows by its neighbours.
 
-
-def _with_slices(df: DataFrame, key: str, order: Sequence[str], cols, half: int, split_rows: int):
-    """Cut long individuals into time slices that overlap by ``half`` rows.
-
-    Returns rows with ``_slice`` and ``_extra`` (a row lent by a neighbouring
-    slice), or None when no individual exceeds ``split_rows``.
+    Adds ``_slice`` and ``_extra`` (a lent row). Ranges are cut wherever the rows
+    lie, by all columns, so neither one long individual nor one busy hour nor
+    missing times make a large slice.
     """
-    ts = as_utc(df, order[0])
-    span = F.max(_hour(ts)) - F.min(_hour(ts)) + 1
-    long_runs = (
-        df.groupBy(F.col(key).alias("_key"))
-        .agg(F.count("*").alias("_n"), span.alias("_span"))
-        .filter(F.col("_n") > split_rows)
-        # four times more slices than an even spread needs, for uneven density
-        .select("_key", F.greatest(F.lit(1), F.expr(f"_span * {split_rows} div (4 * _n)")).alias("_hours"))
-    )
-    # at most (all rows / split_rows) individuals
-    long_runs = stage(long_runs, "long-runs")
-    if long_runs.isEmpty():
-        return None
-    hour = F.coalesce(_hour(ts), F.lit(2**53))
-    rows = (
-        df.join(long_runs, df[key].eqNullSafe(long_runs["_key"]), "left")
-        .withColumn("_slice", F.when(F.col("_hours").isNotNull(), F.floor(hour / F.col("_hours"))).otherwise(0))
-        .drop("_key")
-    )
     asc = total_order(df, order, skip=[key])
+    ranged = df.repartitionByRange(slices, F.col(key).asc_nulls_last(), *asc)
+    rows = stage(ranged.withColumn("_slice", F.spark_partition_id()), "outlier-slices")
     up = Window.partitionBy(key, "_slice").orderBy(*asc)
     size = F.count("*").over(Window.partitionBy(key, "_slice"))
     ends = (
-        rows.filter(F.col("_hours").isNotNull())
-        .withColumn("_up", F.row_number().over(up))
+        rows.withColumn("_up", F.row_number().over(up))
         .withColumn("_down", size - F.col("_up") + 1)
         .filter((F.col("_up") <= half) | (F.col("_down") <= half))
     )
@@ -63,7 +40,7 @@ def _with_slices(df: DataFrame, key: str, order: Sequence[str], cols, half: int,
         .select("_slice", F.inline("_lent"))
         .withColumn("_extra", F.lit(True))
     )
-    return rows.drop("_hours").withColumn("_extra", F.lit(False)).unionByName(extra)
+    return rows.withColumn("_extra", F.lit(False)).unionByName(extra)
 
 
 def flag_outliers(
@@ -73,29 +50,28 @@ def flag_outliers(
     cols: Sequence[str],
     width: int = 5,
     limit: float = 10.0,
-    split_rows: int = 5_000_000,
+    slices: int | None = None,
 ) -> DataFrame:
     """Add rolling mean, sd and squared deviation over sd per column, and a flag.
 
     ``order[0]`` is the time column. The flag is null when any window is not
-    full or has no spread. Individuals above ``split_rows`` rows are computed
-    in overlapping time slices, with the same result. Finding them takes a pass
-    of its own, so stage ``df`` if it is costly to compute.
+    full or has no spread. The table is cut into ``slices`` overlapping ranges of
+    even size (as many as shuffle partitions if not given); the result does not
+    depend on their number. Finding the ranges takes a pass of its own, so stage
+    ``df`` if it is costly to compute.
     """
     half = width // 2
     names = df.columns
-    rows = _with_slices(df, key, order, cols, half, split_rows)
-    parts = [key] if rows is None else [key, "_slice"]
-    rows = df if rows is None else rows
-    w = Window.partitionBy(*parts).orderBy(*total_order(df, order, skip=[key])).rowsBetween(-half, half)
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _with_slices(df, key, order, half, slices)
+    asc = total_order(df, order, skip=[key])
+    w = Window.partitionBy(key, "_slice").orderBy(*asc).rowsBetween(-half, half)
     full = {c: F.count(c).over(w) == width for c in cols}
     stats = rows.select(
         "*",
         *[F.when(full[c], F.avg(c).over(w)).alias(f"{c}_mean_{width}") for c in cols],
         *[F.when(full[c], F.stddev_samp(c).over(w)).alias(f"{c}_sd_{width}") for c in cols],
-    )
-    if "_extra" in stats.columns:
-        stats = stats.filter(~F.col("_extra"))
+    ).filter(~F.col("_extra"))
     bad = F.lit(False)
     for c in cols:
         gap = F.col(c) - F.col(f"{c}_mean_{width}")
