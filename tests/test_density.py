@@ -3,7 +3,7 @@ import random
 import pytest
 from conftest import rows
 
-from trackuse.operators.density import _block_links, _components, _core_blocks, assign_sites, dbscan, neighbour_count
+from trackuse.operators.density import _block_links, _core_blocks, assign_sites, dbscan, neighbour_count
 
 
 def brute_force(cells, r2, min_pts):
@@ -107,15 +107,6 @@ def test_blocks_link_exactly_when_cells_are_close(spark):
     assert got == {w for w in want if len(w) == 2}
 
 
-def test_components_of_a_path_and_a_ring(spark):
-    links = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (102, 100)]
-    nodes = spark.createDataFrame([(i,) for i in [*range(1, 41), 100, 101, 102, 200]], "node bigint")
-    got = dict(rows(_components(nodes, spark.createDataFrame(links, "a bigint, b bigint"))))
-    assert {got[i] for i in range(1, 41)} == {1}
-    assert {got[i] for i in (100, 101, 102)} == {100}
-    assert got[200] == 200
-
-
 def test_noise_fixes_are_removed(spark):
     fixes = spark.createDataFrame([(1, 0, 0), (2, 5, 5), (3, 9, 9)], "id int, gx bigint, gy bigint")
     labelled = spark.createDataFrame([(0, 0, 2), (5, 5, 0)], "gx bigint, gy bigint, site_id int")
@@ -127,3 +118,12 @@ def test_many_clusters_are_numbered_in_cell_order(spark):
     df = frame(spark, random.Random(3).sample(cells, len(cells)))
     got = [s for _, _, s in sorted(rows(dbscan(df, 3, 1).select("gx", "gy", "site_id")))]
     assert got == list(range(1, 46))
+
+
+def test_thousands_of_clusters_in_one_tile(spark):
+    """Core cells five apart, each with a border cell on either side."""
+    centres = [(5 * x, 3 * y) for x in range(50) for y in range(50)]
+    cells = [(x + d, y) for x, y in centres for d in (-1, 0, 1)]
+    got = {(x, y): s for x, y, s in rows(dbscan(frame(spark, cells), 1, 3).select("gx", "gy", "site_id"))}
+    number = {c: i for i, c in enumerate(sorted(centres), 1)}
+    assert got == {(x + d, y): number[x, y] for x, y in centres for d in (-1, 0, 1)}

@@ -13,9 +13,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackuse.operators.components import connected_components
 from trackuse.sources.staging import stage
 
 
@@ -193,36 +194,6 @@ def _block_links(blocks: DataFrame, side: int, radius_sq: int) -> DataFrame:
     return left.join(right, ["bx", "by"]).withColumn("theirs", theirs).filter(near).select("a", "b")
 
 
-def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``node`` to ``label``, the smallest node it is linked to, over any path.
-
-    ``nodes`` should be staged. Each round takes the smallest label next door and then follows labels of
-    labels, so rounds grow with the logarithm of the chain length. One number
-    per round comes back to the driver: whether anything changed.
-    """
-    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = stage(links.select(F.inline(ways)), "links")
-    labels = nodes.select("node", F.col("node").alias("label"))
-    while True:
-        beside = (
-            both.join(labels, F.col("b") == F.col("node"))
-            .groupBy("a")
-            .agg(F.min("label").alias("low"))
-        )
-        lowered = labels.join(beside, F.col("node") == F.col("a"), "left").select(
-            "node", "label", F.least("label", "low").alias("low")
-        )
-        ahead = labels.select(F.col("node").alias("to"), F.col("label").alias("further"))
-        stepped = lowered.join(ahead, F.col("low") == F.col("to")).select(
-            "node", F.least("low", "further").alias("label"), F.col("label").alias("before")
-        )
-        seen = Observation()
-        changed = F.max(F.col("label") != F.col("before")).alias("changed")
-        labels = stage(stepped.observe(seen, changed), "labels").select("node", "label")
-        if not seen.get["changed"]:
-            return labels
-
-
 def _number_clusters(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     """Blocks with ``site_id``: 1, 2, ... by each cluster's first core cell.
 
@@ -262,14 +233,25 @@ def _border_sites(core: DataFrame, others: DataFrame, radius_sq: int) -> DataFra
         out = tile.loc[asking, ["gx", "gy"]].assign(site_id=np.int32(0))
         if not asking.any():
             return out
-        found = np.zeros(int(asking.sum()), dtype=np.int32)
-        # clusters lie more than a radius apart, so a tile meets only a few
-        for s in np.unique(site[~asking]):
-            mine, open_ = site == s, found == 0
-            n = _disc_counts(
-                x[mine], y[mine], x[asking][open_], y[asking][open_], side + 2 * reach, reach, radius_sq
-            )
-            found[np.flatnonzero(open_)[n > 0]] = s
+        ax, ay = x[asking], y[asking]
+        found = np.zeros(len(ax), dtype=np.int32)
+        by_site = np.argsort(site, kind="stable")[int(asking.sum()) :]
+        numbers, starts = np.unique(site[by_site], return_index=True)
+        along = np.argsort(ax, kind="stable")  # asking cells from west to east
+        for s, mine in zip(numbers, np.split(by_site, starts[1:])):
+            # only the box of the cluster and what is in reach of it
+            west, south = x[mine].min(), y[mine].min()
+            width, height = x[mine].max() - west, y[mine].max() - south
+            ends = np.searchsorted(ax[along], [west - reach, west + width + reach + 1])
+            near = along[ends[0] : ends[1]]
+            near = near[(found[near] == 0) & (ay[near] >= south - reach) & (ay[near] <= south + height + reach)]
+            if len(near):
+                move = 2 * reach
+                n = _disc_counts(
+                    x[mine] - west + move, y[mine] - south + move, ax[near] - west + move, ay[near] - south + move,
+                    int(max(width, height)) + 4 * reach + 1, reach, radius_sq,
+                )
+                found[near[n > 0]] = s
         return out.assign(site_id=found)
 
     asking = others.select(
@@ -292,7 +274,8 @@ def dbscan(cells: DataFrame, radius: float, min_pts: int) -> DataFrame:
     core = counted.filter(F.col("neighbours") >= min_pts).select("gx", "gy")
     others = counted.filter(F.col("neighbours") < min_pts).select("gx", "gy")
     blocks = stage(_core_blocks(core, side), "core-blocks")
-    labels = _components(blocks.select("node"), _block_links(blocks, side, radius_sq))
+    linked = connected_components(_block_links(blocks, side, radius_sq), "a", "b")
+    labels = blocks.select("node").join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     numbered = _number_clusters(blocks, labels)
     core_sites = stage(
         core.withColumns({"bx": _block("gx", side), "by": _block("gy", side)})
