@@ -5,7 +5,7 @@ from trackuse.config import Config
 from trackuse.fixed_values import REFERENCE_POINTS
 from trackuse.plans.figures import annual_panels, flyway_map, regional_map, route_map, tag_site_map
 from trackuse.plans.site_use import run_site_use
-from trackuse.sources.staging import shared_dir, stage
+from trackuse.sources.staging import discard, shared_dir, stage
 from trackuse.sources.tables import (
     LOCATION_SCHEMA,
     read_locations,
@@ -107,3 +107,32 @@ def test_whole_analysis_from_csv_to_tables_and_figures(spark, tmp_path):
     assert {r["individual_local_identifier"] for r in line.collect()} == {"a"} or line.count() == 21
     sites, extent = tag_site_map(spark)
     assert sites.count() == 6 and extent.first()["aspect"] > 0
+
+
+def test_files_of_one_folder_with_different_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("individual_local_identifier,X,Y\n01,1,2\n")
+    (tmp_path / "b.csv").write_text('Y,X,"individual_local_identifier"\n4,3,02\n5,x,03\n')
+    (tmp_path / "empty.csv").write_text("")
+    got = sorted(rows(read_studies(spark, {"A": str(tmp_path)}).select("study_name", "individual_local_identifier", "X", "Y")))
+    assert got == [("A", "01", 1.0, 2.0), ("A", "02", 3.0, 4.0), ("A", "03", None, 5.0)]
+
+
+def test_line_breaks_in_texts_survive(spark, tmp_path):
+    data = [(*LOCATIONS[1][:4], 'two\nlines, "quoted"\r\nthree', *LOCATIONS[1][5:]), LOCATIONS[0]]
+    write_locations(spark.createDataFrame(data, LOCATION_SCHEMA), f"{tmp_path}/out", "csv")
+    back = rows(read_locations(spark, f"{tmp_path}/out", multi_line=True))
+    assert sorted(back, key=repr) == sorted(data, key=repr)
+
+
+def test_no_header_is_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("")
+    with pytest.raises(ValueError, match="no header"):
+        read_locations(spark, f"{tmp_path}/a.csv")
+
+
+def test_staged_tables_can_be_deleted(spark):
+    import os
+
+    one, two = stage(spark.range(3), "gone"), stage(spark.range(3), "kept")
+    discard(one)
+    assert not os.path.exists(one.staged_path) and two.count() == 3

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
@@ -33,39 +34,76 @@ def require_columns(df: DataFrame, cols: Iterable[str] = REQUIRED_COLUMNS) -> Da
     return df
 
 
-def _read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header. ``NA`` and blanks are null, a quoted ``""`` is text.
+def _files_by_header(spark: SparkSession, paths: Iterable[str]) -> dict[tuple[str, ...], list[str]]:
+    """Column names to the files that start with them, one entry per distinct header line.
 
-    Column types are never guessed: an all-digit identifier stays text. Known
-    columns are cast by name, so files may list columns in any order.
+    Headers are read by tasks; what comes back is one line for each file.
     """
-    reader = spark.read.option("header", True).option("nullValue", "NA")
-    raw = reader.option("escape", '"').option("multiLine", False).csv(path)
-    return raw.select(
-        *[
-            F.col(f"`{c}`").try_cast(_TYPES[c]).alias(c) if c in _TYPES else F.col(f"`{c}`")
-            for c in raw.columns
-        ]
+    lines = spark.read.text(list(paths)).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
     )
+    # the first line of a file is the first one of its first block
+    firsts = lines.filter(F.col("start") == 0).groupBy("file").agg(F.first("value").alias("header"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in firsts.orderBy("file").collect():
+        names = tuple(next(csv.reader([row["header"].lstrip("\ufeff")])))
+        found.setdefault(names, []).append(row["file"])
+    if not found:
+        raise ValueError(f"no header in {', '.join(paths)}")
+    return found
+
+
+def _read_csv(spark: SparkSession, paths: Iterable[str], multi_line: bool = False) -> DataFrame:
+    """CSV with a header. ``NA`` and blanks are null, a quoted ``""`` is text.
+
+    Files may list columns in any order and lack some: there is one scan per
+    distinct header. Column types are never guessed: an all-digit identifier stays
+    text. Known columns are cast by name, and a malformed number becomes null.
+    ``multi_line`` allows line breaks inside quoted texts, at the cost of reading
+    each file in one task. Adds ``_file``.
+    """
+    parts = []
+    for names, files in _files_by_header(spark, paths).items():
+        reader = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+        reader = reader.option("header", True).option("nullValue", "NA").option("escape", '"')
+        raw = reader.option("multiLine", multi_line).csv(files)
+        known = [F.col(f"`{n}`").try_cast(_TYPES[n]).alias(n) if n in _TYPES else F.col(f"`{n}`") for n in names]
+        parts.append(raw.select(*known, F.col("_metadata.file_path").alias("_file")))
+    return union_studies(parts)
 
 
-def read_locations(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_locations(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False) -> DataFrame:
     """The location table; fails early when a required column is missing."""
-    df = _read_csv(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path)
+    df = _read_csv(spark, [path], multi_line).drop("_file") if fmt == "csv" else spark.read.format(fmt).load(path)
     return require_columns(df)
 
 
-def read_studies(spark: SparkSession, paths: Mapping[str, str], fmt: str = "csv") -> DataFrame:
+def _qualified(spark: SparkSession, path: str) -> str:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+
+
+def read_studies(
+    spark: SparkSession, paths: Mapping[str, str], fmt: str = "csv", multi_line: bool = False
+) -> DataFrame:
     """Landed exports, ``{study name: path}``, stacked with their study name.
 
-    Each study is read on its own, since a CSV header only speaks for its own
-    files. Serves fixes and deployments alike.
+    CSV files are scanned once per distinct header, however many studies there
+    are, and get their study from their path; paths must be files or folders
+    without wildcards. Serves fixes and deployments alike.
     """
-    parts = []
-    for name, path in paths.items():
-        df = _read_csv(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path)
-        parts.append(df.withColumn("study_name", F.lit(name)))
-    return union_studies(parts)
+    if fmt != "csv":
+        return union_studies(
+            spark.read.format(fmt).load(path).withColumn("study_name", F.lit(name)) for name, path in paths.items()
+        )
+    places = spark.createDataFrame([(n, _qualified(spark, p)) for n, p in paths.items()], "study_name string, _place string")
+    rows = _read_csv(spark, paths.values(), multi_line)
+    if "study_name" in rows.columns:
+        rows = rows.drop("study_name")
+    # a landed path is the file itself or its folder
+    folder = F.regexp_replace("_file", "/[^/]*$", "")
+    at = F.explode(F.array_distinct(F.array("_file", folder)))
+    return rows.withColumn("_place", at).join(places, "_place").drop("_place", "_file")
 
 
 def union_studies(dfs: Iterable[DataFrame]) -> DataFrame:
@@ -74,6 +112,7 @@ def union_studies(dfs: Iterable[DataFrame]) -> DataFrame:
 
 
 def write_locations(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """CSV keeps line breaks of texts; read them back with ``multi_line``."""
     writer = df.write.mode("overwrite")
     if fmt == "csv":
         writer.option("header", True).option("nullValue", "NA").option("escape", '"').csv(path)
