@@ -149,3 +149,14 @@ def test_config_anchor_changes_the_cycle(spark):
     presence = presence_days(fixes(spark, [("a", 1, dt.date(2020, 6, 1))]), Config(anchor_month=7, anchor_day=1))
     (row,) = presence.collect()
     assert row["nb_year"] == 2019 and row["day_in_year"] == 337
+
+
+def test_typed_deployments_count_as_text_does(spark):
+    text = spark.createDataFrame([("a", "2011-03-01"), ("b", "2011-03-01 00:00:00"), ("c", "2012-01-02 10:00:00")], "individual_local_identifier string, deploy_on_timestamp string")
+    midnight = text.filter("individual_local_identifier <> 'b'")
+    for kind in ("timestamp_ntz", "timestamp"):
+        typed = midnight.withColumn("deploy_on_timestamp", midnight["deploy_on_timestamp"].cast(kind))
+        assert rows(new_deployments(typed)) == rows(new_deployments(midnight)) == [(2011, 1)]
+        assert sorted(rows(new_deployments(typed, strict=False))) == [(2011, 1), (2012, 1)]
+    dates = midnight.withColumn("deploy_on_timestamp", midnight["deploy_on_timestamp"].try_cast("date"))
+    assert sorted(rows(new_deployments(dates))) == [(2011, 1), (2012, 1)]

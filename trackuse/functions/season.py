@@ -51,6 +51,22 @@ def parse_date(c: Column | str, strict: bool = True) -> Column:
     return parse_timestamp(c).cast("date")
 
 
+def as_date(df: DataFrame, name: str, strict: bool = True) -> Column:
+    """Column ``name`` as a date, parsing only when it is text.
+
+    Strict: a time of day gives null. A typed midnight is a date, as the text
+    written from it would be.
+    """
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.DateType):
+        return F.col(name)
+    if not isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
+        return parse_date(name, strict)
+    time = as_utc(df, name)
+    day = time.cast("date")
+    return F.when(time == day.cast("timestamp_ntz"), day) if strict else day
+
+
 def cycle_year(date: Column | str, month: int = 6, day: int = 1) -> Column:
     """Calendar year in which the cycle holding ``date`` began."""
     before = (F.month(date) < month) | ((F.month(date) == month) & (F.dayofmonth(date) < day))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackuse.functions.season import as_utc, parse_date
+from trackuse.functions.season import as_date, as_utc
 
 ID = "individual_local_identifier"
 
@@ -16,7 +16,7 @@ def new_deployments(df: DataFrame, strict: bool = True) -> DataFrame:
     Strict reads dates only: a deployment written with a time of day is not
     counted. ``strict=False`` counts those too.
     """
-    year = F.year(parse_date("deploy_on_timestamp", strict))
+    year = F.year(as_date(df, "deploy_on_timestamp", strict))
     return (
         df.select(ID, year.alias("deploy_year"))
         .filter(F.col("deploy_year").isNotNull())
