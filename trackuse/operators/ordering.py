@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trackuse.sources.staging import stage
+
 
 def total_order(df: DataFrame, order: Sequence[str], skip: Sequence[str] = ()) -> list[Column]:
     """``order``, then every other sortable column by name, nulls last.
@@ -38,6 +40,20 @@ def first_n_per_group(
     return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
 
 
+def with_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Add the place of each row in a total order, counted from 1.
+
+    Rows are sorted into ranges; a range starts after the rows of the ranges
+    before it. Only the sizes of the ranges, one row each, meet in one task.
+    """
+    ranged = stage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").count()
+    starts = sizes.select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.join(starts, "_range").withColumn(name, (F.col("_before") + place).cast("int")).drop("_range", "_before")
+
+
 def same_key(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
     """Equality on key pairs where null equals null."""
     cond = None

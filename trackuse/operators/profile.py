@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackuse.operators.ordering import with_rank
 from trackuse.operators.usage import SITE, complete_days, tracked_by_cycle
+from trackuse.sources.staging import stage
 
 
 def occupancy(clean: DataFrame) -> DataFrame:
     """Share of the calendar year's animals present on each day of the year."""
-    seen = clean.select(
-        F.year("date").alias("year"), F.dayofyear("date").alias("doy"), "local_identifier"
-    ).distinct()
+    # both counts below come from this one table
+    seen = stage(
+        clean.select(
+            F.year("date").alias("year"), F.dayofyear("date").alias("doy"), "local_identifier"
+        ).distinct(),
+        "days-seen",
+    )
     daily = seen.groupBy("year", "doy").agg(F.count("*").alias("n_present"))
     yearly = (
         seen.select("year", "local_identifier").distinct().groupBy("year").agg(F.count("*").alias("n_tracked"))
@@ -48,18 +54,17 @@ def seasonal_profile(presence: DataFrame, sites: DataFrame, days: int = 366) ->
         .groupBy(*SITE, "day_in_year")
         .agg(F.avg("prop_present").alias("prop"))
     )
-    # one row per site; rounded so that equal latitudes tie, then by number
-    north = Window.orderBy(F.desc(F.round("latitude", 9)), "site_id")
-    order = sites.select("site_id", F.row_number().over(north).alias("site_order"))
+    # rounded so that equal latitudes tie, then by number
+    north = [F.desc(F.round("latitude", 9)), F.col("site_id").asc()]
+    order = with_rank(sites.select("site_id", "latitude"), north, "site_order").drop("latitude")
     return complete_days(mean, SITE, "prop", F.lit(0.0), days).join(order, "site_id", "left")
 
 
 def annual_use_order(use: DataFrame) -> DataFrame:
     """Yearly shares with ``site_order``, sites ranked by mean share."""
     means = use.groupBy("site_label").agg(F.avg("prop_site").alias("mean_prop"))
-    # one row per site; rounded so that equal means tie whatever the sum order
-    ranked = Window.orderBy(F.desc(F.round("mean_prop", 12)), "site_label")
-    order = means.withColumn("site_order", F.row_number().over(ranked))
+    # rounded so that equal means tie whatever the sum order
+    order = with_rank(means, [F.desc(F.round("mean_prop", 12)), F.col("site_label").asc()], "site_order")
     return use.join(order, "site_label")
 
 

@@ -113,19 +113,20 @@ def nearest_reference(
 def label_duplicates(sites: DataFrame) -> DataFrame:
     """Add ``site_label``: the name, with the site number where names repeat.
 
-    One row per site, so even a name shared by all sites is a small group.
+    ``sites`` is read twice. Names are counted before the shuffle, so a name that
+    very many sites share is no large group.
     """
-    same = F.count("*").over(Window.partitionBy("site_name"))
+    names = sites.groupBy(F.col("site_name").alias("_name")).agg(F.count("*").alias("_same"))
     numbered = F.concat("site_name", F.lit(" (site "), F.col("site_id").cast("string"), F.lit(")"))
-    return sites.withColumn("_same", same).withColumn(
-        "site_label", F.when(F.col("_same") > 1, numbered).otherwise(F.col("site_name"))
-    ).drop("_same")
+    label = F.when(F.col("_same") > 1, numbered).otherwise(F.col("site_name"))
+    counted = sites.join(names, sites["site_name"].eqNullSafe(names["_name"]), "left")
+    return counted.withColumn("site_label", label).drop("_same", "_name")
 
 
 def site_locations(
     fixes: DataFrame, refs: Sequence[tuple[str, float, float]] = REFERENCE_POINTS
 ) -> DataFrame:
-    return label_duplicates(nearest_reference(site_centres(fixes), refs))
+    return label_duplicates(stage(nearest_reference(site_centres(fixes), refs), "named-sites"))
 
 
 def name_fixes(fixes: DataFrame, sites: DataFrame) -> DataFrame:
