@@ -39,7 +39,14 @@ from trackuse.operators.ordering import first_n_per_group
 from trackuse.plans import figures
 from trackuse.plans.site_use import find_sites, site_tables
 from trackuse.sources.staging import shared_dir, stage
-from trackuse.sources.tables import read_studies, write_locations
+from trackuse.sources.tables import (
+    read_locations,
+    read_output,
+    read_studies,
+    require_columns,
+    write_locations,
+    write_outputs,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,22 +125,52 @@ def _(spark, sf):
     "read_studies",
     """SELECT individual_local_identifier, "X", "Y", timestamp, study_name, study_site, ground_speed,
               CASE WHEN study_name = 'Other' THEN NULL ELSE taxon_detail END AS taxon_detail
-       FROM fixes WHERE study_name IN ('Other', 'BtgTagus 2019')""",
+       FROM fixes""",
 )
 def _(spark, sf):
-    """Two studies landed as CSV with different columns, read back as one table."""
-    fixes = v.fixes(spark, sf).drop("hub", "deploy_on_timestamp")
-    base = stage(fixes, "to-land")
+    """All studies landed as CSV, one without a column, each in files of two column orders, read as one table."""
+    base = v.fixes(spark, sf).drop("hub", "deploy_on_timestamp")
     paths = {}
-    for i, study in enumerate(("Other", "BtgTagus 2019")):
+    for i, study in enumerate(("Study south holland", "BtgTagus 2019", "EXTREMADURA birds", "Other")):
         part = base.filter(F.col("study_name") == study).drop("study_name")
         if study == "Other":
             part = part.drop("taxon_detail")
         paths[study] = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}-{i}"
-        write_locations(part, paths[study], "csv")
+        write_locations(part.filter("X is null or X >= 0"), paths[study], "csv")
+        rest = part.filter("X < 0").select(*reversed(part.columns))
+        rest.write.mode("append").options(header=True, nullValue="NA", escape='"').csv(paths[study])
     return read_studies(spark, paths)
 
 
+@query(
+    "read_deployments",
+    """SELECT study_name, individual_local_identifier, deploy_on_timestamp,
+              CAST(deployment_id AS VARCHAR) AS deployment_id, study_site FROM deployments""",
+)
+def _(spark, sf):
+    deps = v.deployments(spark, sf).drop("mates", "visible")
+    paths = {}
+    for i, study in enumerate(("Study south holland", "BtgTagus 2019", "EXTREMADURA birds", "Other")):
+        part = deps.filter(F.col("study_name") == study).drop("study_name")
+        paths[study] = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}-{i}"
+        write_locations(part.select(*(reversed(part.columns) if i % 2 else part.columns)), paths[study], "csv")
+    return read_studies(spark, paths)
+
+
+@query(
+    "locations_round_trip",
+    """SELECT individual_local_identifier, "X", "Y", timestamp, study_name, study_site, ground_speed,
+              'line one' || chr(10) || '"two", ' || study_name AS notes FROM fixes""",
+)
+def _(spark, sf):
+    """All fixes written as CSV with a text of two lines, and read back."""
+    notes = F.concat(F.lit('line one\n"two", '), "study_name")
+    path = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}"
+    write_locations(v.fixes(spark, sf).withColumn("notes", notes), path, "csv")
+    back = read_locations(spark, path, multi_line=True)
+    return back.drop("hub", "taxon_detail", "deploy_on_timestamp")
+
+
 @query(
     "union_studies",
     """SELECT individual_local_identifier, "X", "Y", ground_speed, NULL::VARCHAR AS event_type FROM fixes
@@ -582,6 +619,45 @@ def _(spark, sf):
     return rounded(summary, *_SUMMARY_NUMBERS)
 
 
+@query(
+    "clustered_site_fixes",
+    f"SELECT local_identifier, timestamp, location_long, location_lat, {_SITE} FROM clustered_site_fixes",
+)
+def _(spark, sf):
+    """Every fix of a clustered site with its name; noise is gone."""
+    found = find_sites(v.fixes(spark, sf), COARSE).fixes
+    return found.select("local_identifier", "timestamp", "location_long", "location_lat", *_SITE.split(", "))
+
+
+@query(
+    "outputs_round_trip",
+    f"SELECT local_identifier, {_SITE}, nb_year, nb_year_start, date, day_in_year FROM presence",
+)
+def _(spark, sf):
+    """Presence days written in one folder per cycle, and read back."""
+    folder = f"{shared_dir(spark)}/outputs-{uuid.uuid4().hex}"
+    write_outputs({"site_presence_days": hub_presence(spark, sf)}, folder, {"site_presence_days": "nb_year"})
+    return require_columns(read_output(spark, folder, "site_presence_days"), ["site_id", "nb_year", "date"])
+
+
+def recent_presence(spark, sf):
+    named, places = named_hub_fixes(spark, sf)
+    return usage.presence_days(recent.recent_cycles(named, 2, CFG), CFG), places
+
+
+@query(
+    "recent_presence_days",
+    f"SELECT local_identifier, {_SITE}, nb_year, nb_year_start, date, day_in_year FROM recent_presence",
+)
+def _(spark, sf):
+    return recent_presence(spark, sf)[0]
+
+
+@query("recent_site_use_by_year", f"SELECT {_SITE}, nb_year, n_site, n_total, prop_site FROM recent_use")
+def _(spark, sf):
+    return usage.site_use_by_year(recent_presence(spark, sf)[0])
+
+
 @query("recent_cycles", f"SELECT local_identifier, timestamp, {_SITE}, nb_year FROM recent_cycled")
 def _(spark, sf):
     named, _ = named_hub_fixes(spark, sf)
@@ -622,23 +698,31 @@ def _(spark, sf):
     return rounded(out, "mean_prop_present", "roll_14")
 
 
-@query(
-    "seasonal_profile",
-    """SELECT s.site_id, s.site_name, s.site_label, CAST(d AS INTEGER) AS day_in_year, site_order,
+def _profile_sql(p: str) -> str:
+    return f"""
+       SELECT s.site_id, s.site_name, s.site_label, CAST(d AS INTEGER) AS day_in_year, site_order,
               round(coalesce(prop, 0), 6) AS prop
        FROM (SELECT *, CAST(row_number() OVER (ORDER BY round(latitude, 9) DESC, site_id) AS INTEGER) AS site_order FROM sites) s
-       JOIN (SELECT DISTINCT site_id FROM daily) USING (site_id)
+       JOIN (SELECT DISTINCT site_id FROM {p}daily) USING (site_id)
        CROSS JOIN (SELECT unnest(range(1, 367)) AS d)
        LEFT JOIN (SELECT site_id, day_in_year, avg(n_users / n_total) AS prop
-                  FROM daily JOIN tracked USING (nb_year) GROUP BY 1, 2) p
-       ON p.site_id = s.site_id AND p.day_in_year = d""",
-)
+                  FROM {p}daily JOIN {p}tracked USING (nb_year) GROUP BY 1, 2) p
+       ON p.site_id = s.site_id AND p.day_in_year = d"""
+
+
+@query("seasonal_profile", _profile_sql(""))
 def _(spark, sf):
     named, places = named_hub_fixes(spark, sf)
     presence = stage(usage.presence_days(named, CFG), "presence")
     return rounded(profile.seasonal_profile(presence, places), "prop")
 
 
+@query("recent_seasonal_profile", _profile_sql("recent_"))
+def _(spark, sf):
+    presence, places = recent_presence(spark, sf)
+    return rounded(profile.seasonal_profile(stage(presence, "presence"), places), "prop")
+
+
 @query(
     "annual_use_order",
     f"""SELECT {_SITE}, nb_year, prop_site, round(mean_prop, 6) AS mean_prop, site_order
@@ -731,16 +815,26 @@ def _(spark, sf):
     return effort.active_tags(v.order_fixes(spark, sf))
 
 
-@query(
-    "tag_effort",
-    """SELECT deploy_year, year_order, metric, n, CASE WHEN n > 0 THEN format('{:,}', n) ELSE '' END AS label
+_EFFORT = """
+       SELECT deploy_year, year_order, metric, n, CASE WHEN n > 0 THEN format('{:,}', n) ELSE '' END AS label
        FROM (SELECT deploy_year, year_order, 'New deployments' AS metric, n_new AS n FROM effort_years
-             UNION ALL SELECT deploy_year, year_order, 'Active tags', n_act FROM effort_years)""",
-)
+             UNION ALL SELECT deploy_year, year_order, 'Active tags', n_act FROM effort_years)"""
+
+
+@query("tag_effort", _EFFORT)
 def _(spark, sf):
     return effort.tag_effort(v.order_fixes(spark, sf), 1996, 2025)
 
 
+@query("tag_effort_typed", _EFFORT)
+def _(spark, sf):
+    """The same from typed columns: dates are stored as midnights."""
+    typed = v.order_fixes(spark, sf).withColumns(
+        {c: parse_timestamp(c) for c in ("timestamp", "deploy_on_timestamp")}
+    )
+    return effort.tag_effort(typed, 1996, 2025)
+
+
 # --- routes ------------------------------------------------------------------
 
 CTES["daily_fixes"] = """
@@ -827,6 +921,18 @@ def _(spark, sf):
     return rounded(points.select("tag_site", ID, "timestamp", "x", "y"), "x", "y", places=2)
 
 
+@query(
+    "route_extent",
+    """SELECT round(a - 0.4 * (b - a), 2) AS xmin, round(b + 0.4 * (b - a), 2) AS xmax,
+              round(c - 0.4 * (d - c), 2) AS ymin, round(d + 0.4 * (d - c), 2) AS ymax,
+              round((b - a) / (d - c), 6) AS aspect
+       FROM (SELECT min(ox) AS a, max(ox) AS b, min(oy) AS c, max(oy) AS d FROM route_points)""",
+)
+def _(spark, sf):
+    _, box = figures.route_map(v.fixes(spark, sf), *PERIOD)
+    return rounded(rounded(box, "xmin", "xmax", "ymin", "ymax", places=2), "aspect")
+
+
 # --- regions -----------------------------------------------------------------
 
 # Outlines: region, ring, corners. The square and the L overlap; the frame has a
