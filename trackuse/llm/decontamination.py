@@ -40,11 +40,11 @@ def _hash(word: str) -> int:
 
 
 class _Words(dict):
-    """Word to its index in ``hashes`` and ``kinds``; new words are added when asked for."""
+    """Word to its index in ``hashes`` and ``kinds``, which grow by doubling; new words are added when asked for."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.hashes, self.kinds = [], []
+        self.hashes, self.kinds = np.zeros(1_024, np.uint64), np.zeros(1_024, np.int8)
 
     def __missing__(self, word: str) -> int:
         if word in ".!?\n":
@@ -55,9 +55,10 @@ class _Words(dict):
             kind = UNIT
         else:
             kind = CAPITAL if word[0].isupper() else LITERAL
-        at = self[word] = len(self.hashes)
-        self.hashes.append(_hash(word.lower()))
-        self.kinds.append(kind)
+        at = self[word] = len(self)
+        if at == len(self.hashes):
+            self.hashes, self.kinds = (np.concatenate((a, np.zeros_like(a))) for a in (self.hashes, self.kinds))
+        self.hashes[at], self.kinds[at] = _hash(word.lower()), kind
         return at
 
 
@@ -79,8 +80,7 @@ class Templates:
             self.words = _Words()
         tokens = TOKEN.findall(text or "")
         at = np.fromiter(map(self.words.__getitem__, tokens), np.int64, len(tokens))
-        kinds = np.array(self.words.kinds, np.int8)[at]
-        hashes = np.array(self.words.hashes, np.uint64)[at]
+        kinds, hashes = self.words.kinds[at], self.words.hashes[at]
         before = np.concatenate(([END], kinds[:-1]))
         slots = np.where((kinds == CAPITAL) & (before == END), LITERAL, kinds)
         slots[(kinds == UNIT) & (before != NUMBER)] = LITERAL
