@@ -113,7 +113,11 @@ _WINDOW_TYPE = "pos int, hash long, slots array<string>"
 
 
 def _values(slots: np.ndarray, words: list[str], start: int, width: int) -> list[str]:
-    return [f"{_SLOTS[int(k)]}:{words[start + i].lower()}" for i, k in enumerate(slots[start : start + width]) if k]
+    """The slot values of a window; none if it is hashed as it is."""
+    kinds = slots[start : start + width].tolist()
+    if kinds.count(LITERAL) < LITERALS:
+        return []
+    return [f"{_SLOTS[k]}:{words[start + i].lower()}" for i, k in enumerate(kinds) if k]
 
 
 def _item_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
