@@ -984,3 +984,42 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return regions.clip_box(v.fixes(spark, sf), *REGION_BOXES["iberia"]).select(ID, "X", "Y", "timestamp")
+
+
+def _box(region: str, west: float, south: float, east: float, north: float):
+    return (region, 1, [(west, south), (east, south), (east, north), (west, north)])
+
+
+# Two countries a view, with a border that runs through fixes.
+COUNTRIES = [
+    _box("Portugal", -9.603, 36.003, -8.94, 43.003),
+    _box("Spain", -8.94, 36.003, 2.003, 43.003),
+    _box("Senegal", -17.203, 12.003, -13.2, 17.003),
+    _box("Mali", -13.2, 12.003, -3.001, 17.003),
+    _box("France", -1.0, 36.0, 3.0, 50.0),
+]
+
+
+@query(
+    "regional_map",
+    """SELECT 'iberia' AS view, local_identifier, timestamp, location_long, location_lat FROM clean
+       WHERE location_long > -9.603 AND location_long < 2.003 AND location_lat > 36.003 AND location_lat < 43.003
+         AND location_long BETWEEN -9.5 AND 4 AND location_lat BETWEEN 36 AND 44.5
+       UNION ALL
+       SELECT 'west_africa', local_identifier, timestamp, location_long, location_lat FROM clean
+       WHERE location_long > -17.203 AND location_long < -3.001 AND location_lat > 12.003 AND location_lat < 17.003
+         AND location_long BETWEEN -20 AND 0 AND location_lat BETWEEN 0 AND 38""",
+)
+def _(spark, sf):
+    outlines = spark.createDataFrame(
+        [(r, i, [{"x": x, "y": y} for x, y in c]) for r, i, c in COUNTRIES],
+        "region string, ring_id int, vertices array<struct<x:double,y:double>>",
+    )
+    fixes = stage(hub_fixes(spark, sf), "hub-fixes")
+    views = [
+        figures.regional_map(fixes, outlines, view).select(
+            F.lit(view).alias("view"), "local_identifier", "timestamp", "location_long", "location_lat"
+        )
+        for view in REGION_BOXES
+    ]
+    return views[0].unionByName(views[1])

@@ -121,6 +121,25 @@ def test_holes_overlaps_edges_and_bands(spark):
         assert sorted(got) == ["both", "in", "level with corner", "tri"]
 
 
+def test_shared_borders_are_inside(spark):
+    polygons = outlines(
+        spark,
+        [
+            ("west", 1, [(0, 0), (5, 0), (5, 5), (5, 10), (0, 10)]),
+            ("east", 1, [(5, 0), (9, 0), (9, 5), (5, 5)]),
+            ("north", 1, [(5, 5), (9, 5), (9, 10), (5, 10)]),
+        ],
+    )
+    points = {
+        "two": (5.0, 3.0), "three": (5.0, 5.0), "flat": (7.0, 5.0), "end": (5.0, 0.0), "top": (5.0, 10.0),
+        "outer": (9.0, 5.0), "in": (1.0, 5.0), "out": (9.5, 5.0),
+    }
+    df = spark.createDataFrame([(n, *p) for n, p in points.items()], "name string, X double, Y double")
+    found = lambda *names: sorted(r["name"] for r in points_in_region(df, polygons, names).collect())
+    assert found("west", "east", "north") == ["flat", "in", "three", "two"]
+    assert found("west", "east") == ["in", "two"] and found("east") == []
+
+
 def test_clip_is_inclusive(spark):
     df = spark.createDataFrame([(0.0, 0.0), (1.0, 2.0), (1.1, 0.0), (0.5, None)], "X double, Y double")
     assert rows(clip_box(df, (0.0, 1.0), (0.0, 2.0))) == [(0.0, 0.0), (1.0, 2.0)]

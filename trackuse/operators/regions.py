@@ -18,7 +18,11 @@ def clip_box(
 
 
 def _edges_by_band(polygons: DataFrame, regions: Sequence[str], band_m: float) -> DataFrame:
-    """One row per horizontal band: the outline edges that touch it, per region."""
+    """One row per horizontal band: the outline edges that touch it, per region, with their west and east ends.
+
+    One more outline is all regions together without the edges that two of them
+    share: a fix on such a border touches nothing there.
+    """
     corners = F.transform(
         "vertices",
         lambda p: F.struct(*[c.alias(n) for c, n in zip(mercator(p["x"], p["y"]), ("x", "y"))]),
@@ -44,13 +48,25 @@ def _edges_by_band(polygons: DataFrame, regions: Sequence[str], band_m: float) -
         )
         .filter("x1 <> x2 OR y1 <> y2")
     )
+    ends = [F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in (1, 2)]
+    unshared = (
+        edges.groupBy(F.least(*ends).alias("a"), F.greatest(*ends).alias("b"))
+        .agg(F.count("*").alias("n"))
+        .filter("n % 2 = 1")
+        .selectExpr("CAST(NULL AS STRING) AS region", "a.x AS x1", "a.y AS y1", "b.x AS x2", "b.y AS y2")
+    )
     low, high = (F.floor(f("y1", "y2") / band_m) for f in (F.least, F.greatest))
     return (
-        edges.withColumn("band", F.explode(F.sequence(low, high)))
+        edges.unionByName(unshared)
+        .withColumn("band", F.explode(F.sequence(low, high)))
         .groupBy("band", "region")
-        .agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+        .agg(
+            F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"),
+            F.min(F.least("x1", "x2")).alias("west"),
+            F.max(F.greatest("x1", "x2")).alias("east"),
+        )
         .groupBy("band")
-        .agg(F.collect_list("edges").alias("outlines"))
+        .agg(F.collect_list(F.struct("west", "east", "edges")).alias("outlines"))
     )
 
 
@@ -84,11 +100,13 @@ def points_in_region(
     lat: str = "Y",
     band_m: float = 20_000.0,
 ) -> DataFrame:
-    """Points strictly inside at least one of the named outlines.
+    """Points strictly inside the named outlines, taken together.
 
     ``polygons``: region, ring_id, vertices array<struct<x,y>> in degrees; holes
     are further rings of the same region. The test runs in Mercator metres, as
-    outlines are straight there. Each outline is tested on its own.
+    outlines are straight there. A fix on a border that two of the outlines share,
+    with equal corners, is inside. In a band only outlines that reach as far west and
+    east as the fix are tested edge by edge.
 
     Edges are staged per band, so their file size decides whether Spark
     broadcasts them (points are then not shuffled) or joins by shuffle.
@@ -96,5 +114,6 @@ def points_in_region(
     mx, my = mercator(lon, lat)
     bands = stage(_edges_by_band(polygons, regions, band_m), "outline-edges")
     placed = points.withColumns({"_x": mx, "_y": my}).withColumn("band", F.floor(F.col("_y") / band_m))
-    inside = F.exists("outlines", lambda edges: _strictly_inside(edges, F.col("_x"), F.col("_y")))
+    x, y = F.col("_x"), F.col("_y")
+    inside = F.exists("outlines", lambda o: x.between(o["west"], o["east"]) & _strictly_inside(o["edges"], x, y))
     return placed.join(bands, "band").filter(inside).drop("band", "outlines", "_x", "_y")
