@@ -38,6 +38,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Spark drops the shuffle files behind a written table once the driver collects its garbage
+    spark.sparkContext._jvm.System.gc()
     staged = spark.read.schema(df.schema).parquet(path)
     staged.staged_path = path
     return staged
