@@ -15,13 +15,24 @@ from pyspark.sql import functions as F
 from trackuse.sources.staging import stage
 
 SIMILARITY = Fraction(4, 5)
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 HASH_BITS = 56
 NEAREST = 4  # earlier rows of a word's group that a line is compared with at once
 
 
+def _split(line: Column) -> Column:
+    """Lower-case words; there may be empty ones."""
+    return F.split(F.translate(F.lower(line), "\t\r\x0b\x0c", "    "), " ")
+
+
 def _words(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(F.lower(line), r"\s+")), "")
+    return F.array_remove(F.array_distinct(_split(line)), "")
+
+
+def _hashes(line: Column) -> Column:
+    """Hashes of the words, each once."""
+    hashes = F.array_distinct(F.transform(_split(line), lambda w: F.xxhash64(w)))
+    return F.array_remove(hashes, F.xxhash64(F.lit("")))
 
 
 def _bucket(hashed: Column) -> Column:
@@ -35,19 +46,20 @@ def rarity_sketch(docs: DataFrame, text_col: str) -> bytes:
     it can go to every task whatever the data; words that share a bucket count as equally
     rare, and any order of words gives the same result.
     """
-    words = docs.select(F.explode(F.split(F.lower(text_col), r"\s+")).alias("word")).where("word <> ''")
+    line = F.translate(text_col, "\n", " ")
+    words = docs.select(F.explode(_split(line)).alias("word")).where("word <> ''")
     counts = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).count()
     rank = F.least(F.lit(127), F.floor(4 * F.log2("count"))).cast("int")
+    found = counts.select("bucket", rank.alias("rank")).toPandas()  # at most 2**SKETCH_BITS rows
     sketch = bytearray(1 << SKETCH_BITS)
-    for bucket, value in counts.select("bucket", rank).collect():  # at most 2**SKETCH_BITS rows
+    for bucket, value in zip(found["bucket"].tolist(), found["rank"].tolist(), strict=True):
         sketch[bucket] = value
     return bytes(sketch)
 
 
-def _ordered(words: Column, sketch: bytes) -> Column:
+def _ordered(hashes: Column, sketch: bytes) -> Column:
     """Word hashes with their rank in the leading bits, sorted: rare words first."""
     table = F.lit(sketch)
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
     rank = lambda h: F.ascii(F.substring(table, _bucket(h) + 1, F.lit(1)).cast("string")).cast("long")
     low = (1 << HASH_BITS) - 1
     return F.array_sort(F.transform(hashes, lambda h: F.shiftleft(rank(h), HASH_BITS).bitwiseOR(h.bitwiseAND(low))))
@@ -64,21 +76,17 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, id_col: str, text_col: str, sketch: bytes, similarity: Fraction) -> DataFrame:
-    """``at, n, parity, prefix`` of every distinct set of words: its first place, size, parity bits and rarest words."""
-    lines = _lines(docs, id_col, text_col).select(F.struct("doc", "line").alias("at"), _words(F.col("text")).alias("words"))
-    sets = lines.where(F.size("words") > 0).select("at", _ordered(F.col("words"), sketch).alias("s"))
+    """``doc, line, n, parity, prefix`` of every distinct set of words: its first place, size, parity bits and rarest words."""
+    lines = _lines(docs, id_col, text_col).select("doc", "line", _hashes(F.col("text")).alias("hashes"))
+    sets = lines.where(F.size("hashes") > 0).select("doc", "line", _ordered(F.col("hashes"), sketch).alias("s"))
     n = F.size("s")
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
     parity = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
+    prefix = F.slice("s", 1, n - _ceil(similarity, n) + 1)
     measured = sets.select(
         F.xxhash64("s").alias("h1"),
         F.xxhash64(F.lit(1), "s").alias("h2"),
-        F.struct(
-            "at",
-            n.alias("n"),
-            parity.alias("parity"),
-            F.slice("s", 1, n - _ceil(similarity, n) + 1).alias("prefix"),
-        ).alias("set"),
+        F.struct("doc", "line", n.alias("n"), parity.alias("parity"), prefix.alias("prefix")).alias("set"),
     )
     return measured.groupBy("h1", "h2").agg(F.min("set").alias("set")).select("set.*")
 
@@ -94,25 +102,59 @@ def _may_match(x: dict[str, Column], y: dict[str, Column], similarity: Fraction)
     return length & position & parity
 
 
-FIELDS = ("at", "n", "i", "parity")
+FIELDS = ("doc", "line", "n", "i", "parity")
+
+
+def _fields(name: str) -> dict[str, Column]:
+    return {f: F.col(f"{name}.{f}") for f in FIELDS}
+
+
+def _same_place(x: dict[str, Column], y: dict[str, Column]) -> Column:
+    return x["doc"].eqNullSafe(y["doc"]) & (x["line"] == y["line"])
+
+
+def _place(x: dict[str, Column]) -> Column:
+    return F.struct(x["doc"].alias("doc"), x["line"].alias("line"))
+
+
+def _prefix_rows(classes: DataFrame) -> DataFrame:
+    return classes.select("doc", "line", "n", "parity", F.posexplode("prefix").alias("i", "word"))
+
+
+def _with_partner(classes: DataFrame, similarity: Fraction) -> DataFrame:
+    """The classes that share a prefix word with another one that may match.
+
+    A semi join stops at the first partner, so a large group of copies gives no more
+    rows than it has, and only what it leaves is looked at in pairs.
+    """
+    rows = _prefix_rows(classes)
+    x, y = _fields("x"), _fields("y")
+    meets = (F.col("x.word") == F.col("y.word")) & ~_same_place(x, y) & _may_match(x, y, similarity)
+    found = rows.alias("y").join(rows.alias("x"), meets, "left_semi").select("y.doc", "y.line").distinct()
+    found = stage(found, "line-partners")
+    same = classes["doc"].eqNullSafe(found["doc"]) & (classes["line"] == found["line"])
+    return classes.join(found, same, "left_semi")
 
 
 def _grouped(classes: DataFrame, similarity: Fraction) -> DataFrame:
     """Prefix words that several sets share, each with the nearby earlier sets of its group that may match."""
-    rows = classes.select("at", "n", "parity", F.posexplode("prefix").alias("i", "word"))
-    group = "PARTITION BY word ORDER BY at"
-    packed = "named_struct('at', at, 'n', n, 'i', i, 'parity', parity)"
+    group = "PARTITION BY word ORDER BY doc, line"
+    packed = f"named_struct({', '.join(f"'{f}', {f}" for f in FIELDS)})"
     looked = [f"lag({packed}, {k}) OVER ({group})" for k in range(1, NEAREST + 1)]
-    rows = rows.select(
+    rows = _prefix_rows(classes).select(
         "word",
         *FIELDS,
         F.expr("count(1) OVER (PARTITION BY word)").alias("members"),
         F.expr(f"array({', '.join(looked)}, first_value({packed}) OVER ({group}))").alias("earlier"),
-    ).where("members > 1")
+    )
     own = {f: F.col(f) for f in FIELDS}
-    fits = lambda e: e.isNotNull() & (e["at"] < F.col("at")) & _may_match({f: e[f] for f in FIELDS}, own, similarity)
-    found = F.transform(F.filter("earlier", fits), lambda e: e["at"])
-    return rows.withColumn("earlier", found)
+
+    def fits(e: Column) -> Column:
+        other = {f: e[f] for f in FIELDS}
+        return e.isNotNull() & ~_same_place(other, own) & _may_match(other, own, similarity)
+
+    found = F.transform(F.filter("earlier", fits), lambda e: _place({f: e[f] for f in FIELDS}))
+    return rows.where("members > 1").withColumn("earlier", found).withColumn("at", _place(own))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: Fraction) -> DataFrame:
@@ -139,19 +181,18 @@ def first_lines(docs: DataFrame, id_col: str, text_col: str, similarity: Fractio
     """``at``: the first places of the sets that are not similar to a set that comes earlier."""
     sketch = rarity_sketch(docs, text_col)
     classes = stage(line_classes(docs, id_col, text_col, sketch, similarity), "line-classes")
-    groups = stage(_grouped(classes, similarity), "line-groups")
+    groups = stage(_grouped(_with_partner(classes, similarity), similarity), "line-groups")
     near = groups.select(F.col("at").alias("y"), F.explode("earlier").alias("x"))
     matched = stage(_verified(near, docs, id_col, text_col, similarity), "line-matches")
 
     # what the nearby rows did not settle meets all earlier rows of its larger groups
     large = groups.where(F.col("members") > NEAREST + 2)
     open_ = large.join(matched.select(F.col("y").alias("at")), "at", "left_anti")
-    x = {f: F.col(f"x.{f}") for f in FIELDS}
-    y = {f: F.col(f"y.{f}") for f in FIELDS}
-    meets = (F.col("x.word") == F.col("y.word")) & (x["at"] < y["at"]) & _may_match(x, y, similarity)
-    far = open_.alias("y").join(large.alias("x"), meets).select(y["at"].alias("y"), x["at"].alias("x"))
+    x, y = _fields("x"), _fields("y")
+    meets = (F.col("x.word") == F.col("y.word")) & (F.col("x.at") < F.col("y.at")) & _may_match(x, y, similarity)
+    far = open_.alias("y").join(large.alias("x"), meets).select(F.col("y.at").alias("y"), F.col("x.at").alias("x"))
     matched = matched.unionByName(_verified(far, docs, id_col, text_col, similarity))
-    return classes.select("at").join(matched.select(F.col("y").alias("at")), "at", "left_anti")
+    return classes.select(F.struct("doc", "line").alias("at")).join(matched.select(F.col("y").alias("at")), "at", "left_anti")
 
 
 def without_repeated_lines(
