@@ -15,14 +15,17 @@ from pyspark.sql import functions as F
 from trackuse.sources.staging import stage
 
 SIMILARITY = Fraction(4, 5)
-SKETCH_BITS = 20
+SKETCH_BITS = 18
 HASH_BITS = 56
 NEAREST = 4  # earlier rows of a word's group that a line is compared with at once
 
 
 def _split(line: Column) -> Column:
     """Lower-case words; there may be empty ones."""
-    return F.split(F.translate(F.lower(line), "\t\r\x0b\x0c", "    "), " ")
+    text = F.lower(line)
+    for blank in "\t\r\x0b\x0c":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.split(text, " ")
 
 
 def _words(line: Column) -> Column:
@@ -46,13 +49,12 @@ def rarity_sketch(docs: DataFrame, text_col: str) -> bytes:
     it can go to every task whatever the data; words that share a bucket count as equally
     rare, and any order of words gives the same result.
     """
-    line = F.translate(text_col, "\n", " ")
+    line = F.replace(text_col, F.lit("\n"), F.lit(" "))
     words = docs.select(F.explode(_split(line)).alias("word")).where("word <> ''")
     counts = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).count()
     rank = F.least(F.lit(127), F.floor(4 * F.log2("count"))).cast("int")
-    found = counts.select("bucket", rank.alias("rank")).toPandas()  # at most 2**SKETCH_BITS rows
     sketch = bytearray(1 << SKETCH_BITS)
-    for bucket, value in zip(found["bucket"].tolist(), found["rank"].tolist(), strict=True):
+    for bucket, value in counts.select("bucket", rank).collect():  # at most 2**SKETCH_BITS rows
         sketch[bucket] = value
     return bytes(sketch)
 
