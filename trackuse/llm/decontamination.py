@@ -167,7 +167,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = stage(items.mapInPandas(_item_rows, f"item_id long, {_WINDOW_TYPE}, width int, total int").distinct(), "benchmark-windows")
     top = F.shiftrightunsigned("hash", 64 - FILTER_BITS).cast("int")
     passing = np.zeros(1 << FILTER_BITS, bool)
-    passing[[r[0] for r in items.select(top).distinct().collect()]] = True  # at most 2**FILTER_BITS rows
+    passing[items.select(top.alias("bit")).distinct().toArrow()["bit"].to_numpy()] = True  # at most 2**FILTER_BITS rows
     widths = sorted(r[0] for r in items.select("width").distinct().collect())
     found = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = found.mapInPandas(_document_rows(passing, widths), f"doc_id long, {_WINDOW_TYPE}")

@@ -172,7 +172,7 @@ def train(pages: DataFrame, html_col: str = "html", max_pages: int = MAX_PAGES)
     chosen = pages.where(has_article).select(F.xxhash64(column).alias("seed"), column.alias("html"))
     keys = chosen.select("seed").distinct().orderBy("seed").limit(max_pages)
     rows = chosen.join(F.broadcast(keys), "seed").groupBy("seed").agg(F.min("html").alias("html"))  # bounded by max_pages
-    sample = rows.mapInPandas(_labelled, "seed long, k int, features array<array<int>>, labels array<int>").toPandas()
+    sample = rows.mapInPandas(_labelled, "seed long, k int, features array<array<int>>, labels array<int>").toArrow().to_pandas()
     sample = sample[sample["labels"].map(len) > 0].sort_values(["k", "seed"])
     return fit([([list(f) for f in fs], list(ls)) for fs, ls in zip(sample["features"], sample["labels"], strict=True)])
 

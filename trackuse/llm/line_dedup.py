@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,10 +54,10 @@ def rarity_sketch(docs: DataFrame, text_col: str) -> bytes:
     words = docs.select(F.explode(_split(line)).alias("word")).where("word <> ''")
     counts = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).count()
     rank = F.least(F.lit(127), F.floor(4 * F.log2("count"))).cast("int")
-    sketch = bytearray(1 << SKETCH_BITS)
-    for bucket, value in counts.select("bucket", rank).collect():  # at most 2**SKETCH_BITS rows
-        sketch[bucket] = value
-    return bytes(sketch)
+    found = counts.select("bucket", rank.alias("rank")).toArrow()  # at most 2**SKETCH_BITS rows
+    sketch = np.zeros(1 << SKETCH_BITS, np.uint8)
+    sketch[found["bucket"].to_numpy()] = found["rank"].to_numpy()
+    return sketch.tobytes()
 
 
 def _ordered(hashes: Column, sketch: bytes) -> Column:

@@ -106,10 +106,10 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, max
         .where(F.col("clean") + F.col("toxic") >= MIN_TEXTS)
     )
     ratio = F.log((F.col("toxic") + 1) / total[1]) - F.log((F.col("clean") + 1) / total[0])
-    chosen = counted.select("bucket", ratio.alias("ratio")).where(F.abs("ratio") >= MIN_RATIO).toPandas()
+    chosen = counted.select("bucket", ratio.alias("ratio")).where(F.abs("ratio") >= MIN_RATIO).toArrow()
     ratios = np.zeros(1 << BITS)  # at most this many rows come
-    ratios[chosen["bucket"].to_numpy(np.int64)] = chosen["ratio"]
-    sample = rows.mapInPandas(_features(ratios), "toxic int, scale double, buckets array<int>").toPandas()
+    ratios[chosen["bucket"].to_numpy()] = chosen["ratio"].to_numpy()
+    sample = rows.mapInPandas(_features(ratios), "toxic int, scale double, buckets array<int>").toArrow().to_pandas()
     return _fit(sample, ratios)
 
 
