@@ -65,7 +65,7 @@ def _ordered(hashes: Column, sketch: bytes) -> Column:
     table = F.lit(sketch)
     rank = lambda h: F.ascii(F.substring(table, _bucket(h) + 1, F.lit(1)).cast("string")).cast("long")
     low = (1 << HASH_BITS) - 1
-    return F.array_sort(F.transform(hashes, lambda h: F.shiftleft(rank(h), HASH_BITS).bitwiseOR(h.bitwiseAND(low))))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rank(h), HASH_BITS).bitwiseOR(h.bitwiseAND(low))))
 
 
 def _ceil(share: Fraction, n: Column) -> Column:
