@@ -52,3 +52,18 @@ def test_no_rows_and_rows_that_stay(spark, documents):
     docs = docs.unionByName(docs.where("doc_id = 1"))
     kept = dc.without_contaminated(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 1, 2, 3]
+
+
+def test_one_edited_mention_does_not_hide_the_rest(spark, documents):
+    rng = random.Random(31)
+    plain = words(rng, 50).split()
+    plain[5] = plain[45] = "Anna"
+    edited = " ".join(["Boris" if i == 5 else w for i, w in enumerate(plain)])
+    got = found(spark, documents, [edited], [" ".join(plain)])
+    assert got == {(0, 0): (43, 43, 1)}
+
+
+def test_different_numbers_may_become_equal(spark, documents):
+    item = "the boy has 3 apples and the girl has 5 pears so they eat"
+    text = item.replace("3", "4").replace("5", "4")
+    assert found(spark, documents, [f"see {text}"], [item], share=1.0) == {(0, 0): (7, 7, 2)}

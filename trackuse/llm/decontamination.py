@@ -1,7 +1,7 @@
 """Benchmark passages in documents, found by templates, so that changed numbers and names don't hide them.
 
 Numbers, names and units become typed slots. Windows of words are joined by hash, and
-the slot values of a run of windows must map one to one.
+windows whose words changed must agree with their run on what every slot value became.
 """
 
 from __future__ import annotations
@@ -155,9 +155,11 @@ def _document_rows(passing: np.ndarray, widths: list[int]):
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
     """``doc_id, item_id, matched_windows, item_windows, changed_slots`` of every document that holds an item.
 
-    A document holds an item if at least ``share`` of the item's windows occur in it, in
-    runs of the same distance in which every slot value of the item stands for one value
-    of the document and the other way round. Texts without words hold nothing and match
+    A document holds an item if at least ``share`` of the item's windows occur in it. A
+    window with the item's own words always counts. One with changed slots counts if they
+    agree with its run, the windows at the same distance: there every slot value of the item
+    stands for the value that most windows give it, and not for one that the run keeps from
+    another slot. Different values may become equal. Texts without words hold nothing and match
     nothing, null texts and rows with a null id neither; rows with the same id count as
     one document, so do equal item ids. An item of fewer than eight words is one window,
     and one of fewer than four is not looked for. Windows of the documents first pass a bit table
@@ -177,14 +179,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         "doc_id", "item_id", "item_pos", "item_windows", (F.col("pos") - F.col("item_pos")).alias("shift"),
         F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")).alias("slots"),
     ).distinct()
-    runs = met.groupBy("doc_id", "item_id", "item_windows", "shift").agg(
-        F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
+    met = stage(met, "benchmark-meets")
+    run = ["doc_id", "item_id", "item_windows", "shift"]
+    votes = met.select(*run, F.explode(F.array_distinct("slots")).alias("slot")).groupBy(*run, "slot.a", "slot.b").count()
+    # most windows, then the value itself
+    best = votes.groupBy(*run, "a").agg(F.max(F.struct("count", F.expr("a = b").alias("same"), "b"))["b"].alias("b"))
+    chosen = best.groupBy(*run).agg(
+        F.collect_list(F.struct("a", "b")).alias("chosen"), F.collect_list(F.when(F.col("a") == F.col("b"), F.col("a"))).alias("unchanged")
     )
-    one_to_one = (F.size("slots") == F.size(F.array_distinct("slots.a"))) & (
-        F.size("slots") == F.size(F.array_distinct("slots.b"))
+    free = F.filter("chosen", lambda s: (s["a"] == s["b"]) | ~F.array_contains("unchanged", s["b"]))
+    chosen = chosen.select(*run, free.alias("chosen"))
+    same = F.forall("slots", lambda s: s["a"] == s["b"])
+    agrees = F.size(F.array_except("slots", F.coalesce("chosen", F.array().cast(chosen.schema["chosen"].dataType)))) == 0
+    runs = met.join(chosen, run, "left").where(same | agrees).groupBy(*run).agg(
+        F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
     changed = F.size(F.filter("slots", lambda s: s["a"] != s["b"]))
-    held = runs.where(one_to_one).groupBy("doc_id", "item_id", "item_windows").agg(
+    held = runs.groupBy("doc_id", "item_id", "item_windows").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("matched_windows"),
         F.max(changed).alias("changed_slots"),
     )
