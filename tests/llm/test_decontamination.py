@@ -67,3 +67,11 @@ def test_different_numbers_may_become_equal(spark, documents):
     item = "the boy has 3 apples and the girl has 5 pears so they eat"
     text = item.replace("3", "4").replace("5", "4")
     assert found(spark, documents, [f"see {text}"], [item], share=1.0) == {(0, 0): (7, 7, 2)}
+
+
+def test_what_stands_before_and_case_do_not_hide_a_copy(spark, documents):
+    item = "What is the capital of France today"
+    texts = [f"Q: {item}", f"Q: {item.replace('France', 'Spain')}", item.upper(), item.lower(), ITEM.upper(), ITEM.lower(), f'he said "{item}"']
+    got = found(spark, documents, texts, [item, ITEM], share=1.0)
+    assert set(got) == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 1), (5, 1), (6, 0)}
+    assert {k: v[2] for k, v in got.items() if v[2]} == {(1, 0): 1}

@@ -1,6 +1,7 @@
 """Benchmark passages in documents, found by templates, so that changed numbers and names don't hide them.
 
-Numbers, names and units become typed slots. Windows of words are joined by hash, and
+Numbers, names and units become typed slots. Windows of words are joined by two hashes, word
+for word in any case and as a template;
 windows whose words changed must agree with their run on what every slot value became.
 """
 
@@ -120,17 +121,36 @@ def _values(slots: np.ndarray, words: list[str], start: int, width: int) -> list
     return [f"{_SLOTS[k]}:{words[start + i].lower()}" for i, k in enumerate(kinds) if k]
 
 
+def _hashed(hashes: np.ndarray, slots: np.ndarray, width: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """Whether they are templates, places and hashes of all windows word for word, and of those whose template is another one."""
+    if len(hashes) < width:
+        return
+    literal = _rolled(hashes, width)
+    yield False, np.arange(len(literal)), literal
+    if slots.any():
+        template = window_hashes(hashes, slots, width)
+        other = np.flatnonzero(template != literal)
+        yield True, other, template[other]
+
+
 def _item_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All windows of the items; an item that is shorter than a window is one window."""
+    """All windows of the items; an item that is shorter than a window is one window.
+
+    A capitalised first word may be a name or not, so it is read alone and as it is after a word.
+    """
     templates = Templates()
     for batch in batches:
         out = []
         for item, text in zip(batch["id"], batch["text"], strict=True):
-            hashes, slots, words = templates.read(text)
-            width = min(WINDOW, len(hashes))
-            if width >= LITERALS:
-                found = window_hashes(hashes, slots, width).view(np.int64).tolist()
-                out += [(item, i, h, _values(slots, words, i, width), width, len(found)) for i, h in enumerate(found)]
+            inside = [x[1:] for x in templates.read(f"a {text or ''}")]
+            for hashes, slots, words in (templates.read(text), inside):
+                width = min(WINDOW, len(hashes))
+                if width < LITERALS:
+                    continue
+                total = len(hashes) - width + 1
+                for template, at, found in _hashed(hashes, slots, width):
+                    for i, h in zip(at.tolist(), found.view(np.int64).tolist(), strict=True):
+                        out.append((item, i, h, _values(slots, words, i, width) if template else [], width, total))
         yield pd.DataFrame(out, columns=["item_id", "pos", "hash", "slots", "width", "total"])
 
 
@@ -144,9 +164,10 @@ def _document_rows(passing: np.ndarray, widths: list[int]):
             for doc, text in zip(batch["id"], batch["text"], strict=True):
                 hashes, slots, words = templates.read(text)
                 for width in widths:
-                    found = window_hashes(hashes, slots, width)
-                    for i in np.flatnonzero(passing[found >> np.uint64(64 - FILTER_BITS)]).tolist():
-                        out.append((doc, i, int(found.view(np.int64)[i]), _values(slots, words, i, width)))
+                    for template, at, found in _hashed(hashes, slots, width):
+                        met = passing[found >> np.uint64(64 - FILTER_BITS)]
+                        for i, h in zip(at[met].tolist(), found[met].view(np.int64).tolist(), strict=True):
+                            out.append((doc, i, h, _values(slots, words, i, width) if template else []))
             yield pd.DataFrame(out, columns=["doc_id", "pos", "hash", "slots"])
 
     return rows
