@@ -44,3 +44,64 @@ def test_every_sentence_is_in_its_normal_form(spark):
     df = spark.createDataFrame([(s, s.upper() + ".  ") for _, s in li.SENTENCES], "a string, b string")
     assert df.where(li.normalised(li.F.col("b")) != li.F.col("a")).count() == 0
     assert {s for _, _, r in li.RULES for s in r} <= {i for i, _ in li.SENTENCES}
+
+
+WRAPPED = {
+    "apache-2.0-header": """
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+""",
+    "mit-text": """Copyright (c) 2020 X
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT
+""",
+    "gpl-3.0-header": """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ */""",
+    "bsd-grant": "Redistribution and use in source and binary forms, with or without\r\nmodification, are permitted provided that the following conditions are met:\r\n",
+    "apache-2.0-line": "Copyright 2020 X. This project is licensed under the Apache License, Version 2.0. More",
+    "mit-line": "This software is released under the terms of the\nMIT license, see LICENSE.md for details.",
+    "mpl2-text": "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy",
+    "spdx-bsd-3-clause": "// SPDX-License-Identifier: BSD-3-Clause\nint x;",
+    "agpl3-short": "Available under the GNU AGPL v3.",
+}
+
+
+def test_wrapped_texts_in_their_usual_layout(documents):
+    texts = list(WRAPPED.values())
+    assert set(found(documents(texts))) == set(enumerate(WRAPPED))
+
+
+def test_every_sentence_has_a_hint_and_every_rule_its_sentences():
+    import re
+
+    assert all(re.search(li.HINTS, s) for _, s in li.SENTENCES + li.MORE_SENTENCES)
+    assert {s for _, _, r in li.ALL_RULES for s in r} <= {i for i, _ in li.SENTENCES + li.MORE_SENTENCES}

@@ -51,6 +51,63 @@ RULES = [
 ]
 
 
+# More of both, which the SQL does not have; here a sentence is a pattern, and a space is any white space.
+_SUBJECT = "(?:this (?:project|work|software|program|library|package|code|file|repository) is )?"
+_UNDER = "(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?"
+_NAMES = [
+    ("apache2-short", "apache (?:license )?(?:version )?2[.]0"),
+    ("mit-short", "mit"),
+    ("gpl3-short", "(?:gnu general public license|gnu gpl|gpl) (?:version )?v?3(?:[.]0)?"),
+    ("gpl2-short", "(?:gnu general public license|gnu gpl|gpl) (?:version )?v?2(?:[.]0)?"),
+    ("lgpl3-short", "(?:gnu lesser general public license|gnu lgpl|lgpl) (?:version )?v?3(?:[.]0)?"),
+    ("lgpl21-short", "(?:gnu lesser general public license|gnu lgpl|lgpl) (?:version )?v?2[.]1"),
+    ("agpl3-short", "(?:gnu affero general public license|gnu agpl|agpl) (?:version )?v?3(?:[.]0)?"),
+    ("mpl2-short", "(?:mozilla public license|mpl) (?:version )?v?2[.]0"),
+    ("bsd2-short", "(?:bsd 2 clause|2 clause bsd|simplified bsd)"),
+    ("bsd3-short", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)"),
+    ("isc-short", "isc"),
+    ("cc-by4", "(?:cc by|creative commons attribution) 4[.]0(?: international)?"),
+    ("cc-by-sa4", "(?:cc by sa|creative commons attribution sharealike) 4[.]0(?: international)?"),
+    ("cc-by-nc4", "(?:cc by nc|creative commons attribution noncommercial) 4[.]0(?: international)?"),
+    ("cc0-short", "cc0(?: 1[.]0)?(?: universal)?"),
+]
+_GRANT = "(?:this (?:program|library|file) is free software|[a-z0-9]+ is free software) you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation either version {} of the license or at your option any later version"
+MORE_SENTENCES = [(i, f"{_SUBJECT}{_UNDER}{x}(?: license)?(?: see (?:the )?license(?: file)?(?:[ .](?:md|txt))?(?: for (?:more )?(?:details|information))?)?") for i, x in _NAMES] + [
+    ("gpl2-free", _GRANT.format("general public license", "2")),
+    ("lgpl3-free", _GRANT.format("lesser general public license", "3")),
+    ("lgpl21-free", _GRANT.format("lesser general public license", "2[.]1")),
+    ("agpl3-free", _GRANT.format("affero general public license", "3")),
+    ("mpl2-text", "this source code form is subject to the terms of the mozilla public license v 2[.]0"),
+    ("isc-grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("unlicense-text", "this is free and unencumbered software released into the public domain"),
+    *[(f"spdx-{x.lower()}", "spdx license identifier " + x.lower().replace("-", " ").replace(".", "[.]")) for x in (
+        "Apache-2.0", "MIT", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-2.0-only", "GPL-2.0-or-later", "LGPL-3.0-or-later", "LGPL-2.1-or-later",
+        "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "Unlicense")],
+]
+_LICENSES = {
+    "gpl2-short": "GPL-2.0", "lgpl3-short": "LGPL-3.0", "lgpl21-short": "LGPL-2.1", "agpl3-short": "AGPL-3.0", "mpl2-short": "MPL-2.0",
+    "bsd2-short": "BSD-2-Clause", "bsd3-short": "BSD-3-Clause", "isc-short": "ISC", "cc-by-sa4": "CC-BY-SA-4.0", "cc0-short": "CC0-1.0",
+    "gpl2-free": "GPL-2.0-or-later", "lgpl3-free": "LGPL-3.0-or-later", "lgpl21-free": "LGPL-2.1-or-later", "agpl3-free": "AGPL-3.0-or-later",
+    "mpl2-text": "MPL-2.0", "isc-grant": "ISC", "unlicense-text": "Unlicense", "spdx-apache-2.0": "Apache-2.0", "spdx-mit": "MIT",
+    "spdx-gpl-3.0-only": "GPL-3.0", "spdx-gpl-3.0-or-later": "GPL-3.0-or-later", "spdx-gpl-2.0-only": "GPL-2.0",
+    "spdx-gpl-2.0-or-later": "GPL-2.0-or-later", "spdx-lgpl-3.0-or-later": "LGPL-3.0-or-later", "spdx-lgpl-2.1-or-later": "LGPL-2.1-or-later",
+    "spdx-agpl-3.0-only": "AGPL-3.0", "spdx-agpl-3.0-or-later": "AGPL-3.0-or-later", "spdx-mpl-2.0": "MPL-2.0", "spdx-bsd-2-clause": "BSD-2-Clause",
+    "spdx-bsd-3-clause": "BSD-3-Clause", "spdx-isc": "ISC", "spdx-cc0-1.0": "CC0-1.0", "spdx-cc-by-4.0": "CC-BY-4.0",
+    "spdx-cc-by-sa-4.0": "CC-BY-SA-4.0", "spdx-unlicense": "Unlicense",
+}
+ALL_RULES = RULES + [(i, x, [i]) for i, x in _LICENSES.items()]
+# every sentence has one of these
+HINTS = "licens|permission|warrant|redistribut|copyright|released under|available under|published under|distributed under|provided under|public domain|software"
+
+
+def _patterns() -> list[tuple[str, str]]:
+    """Sentence identifiers with a pattern each, longer sentences first."""
+    fixed = sorted(SENTENCES, key=lambda s: -len(s[1]))
+    found = [(i, s.replace(".", "[.]")) for i, s in fixed] + sorted(MORE_SENTENCES, key=lambda s: -len(s[1]))
+    # a bracket that holds a space is a choice of signs already
+    return [(i, "(?<=\n)" + s.replace("[ .]", "[\n .]").replace(" ", "[ \n]+").replace("[\n[ \n]+.]", "[ \n.]") + "(?=\n)") for i, s in found]
+
+
 def _sequence(sentences: list[str]) -> str:
     return "".join(f"<{s}>" for s in sentences)
 
@@ -62,12 +119,21 @@ def normalised(sentence: Column) -> Column:
 
 
 def known_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, place, sentence_id`` of every known sentence; a sentence ends at a line end or at . ! ? and white space."""
-    ends = F.split(F.regexp_replace(text_col, "([.!?])[ \t\r\n]+", "$1\n"), "\n")
-    sentences = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(ends).alias("place", "sentence"))
-    table = docs.sparkSession.createDataFrame(SENTENCES, "sentence_id string, sentence string")
-    found = sentences.select("doc_id", "place", normalised(F.col("sentence")).alias("sentence"))
-    return found.join(F.broadcast(table), "sentence").select("doc_id", "place", "sentence_id")  # a fixed table
+    """``doc_id, place, sentence_id`` of every known sentence.
+
+    A sentence starts at a line or after . ! ? and white space, ends before the next such
+    place, and may go over several lines, blank ones and comment signs between them.
+    """
+    text = F.lower(F.regexp_replace(text_col, "([.!?])[ \t\r\n]+", "$1\n"))
+    text = F.regexp_replace(text, "(?m)^[ \t]*(?:rem|dnl) ", "")
+    text = F.concat(F.lit("\n"), F.regexp_replace(text, "[^a-z0-9.\n]+", " "), F.lit("\n"))
+    text = F.regexp_replace(F.regexp_replace(text, "[ .]+(?=\n)", ""), "(?<=\n) +", "")
+    found = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).where(F.col("text").rlike(HINTS))
+    for name, pattern in _patterns():
+        found = found.withColumn("text", F.regexp_replace("text", pattern, f"<{name}>"))
+    sentences = found.where(F.contains("text", F.lit("<"))).select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "sentence"))
+    sentences = sentences.where(F.startswith("sentence", F.lit("<")))
+    return sentences.select("doc_id", (F.col("place") - 1).alias("place"), F.regexp_replace("sentence", "[<>]", "").alias("sentence_id"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,17 +149,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "sentence_id"))), lambda s: F.concat(F.lit("<"), s["sentence_id"], F.lit(">"))), "").alias("rest"),
         F.count("*").alias("sentences"),
     )
-    for i, (_, _, sentences) in enumerate(RULES):
+    for i, (_, _, sentences) in enumerate(ALL_RULES):
         sequence = _sequence(sentences)
         after = F.replace("rest", F.lit(sequence), F.lit("#"))
         times = (F.length("rest") - F.length(after)) / (len(sequence) - 1)
         rest = rest.withColumn(f"n{i}", times.cast("long")).withColumn("rest", after)
-    met = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(x).alias("license"), F.col(f"n{i}").alias("occurrences")) for i, (r, x, _) in enumerate(RULES)])
+    met = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(x).alias("license"), F.col(f"n{i}").alias("occurrences")) for i, (r, x, _) in enumerate(ALL_RULES)])
     return rest.select("doc_id", "sentences", F.inline(met)).where("occurrences > 0").select("doc_id", "rule_id", "license", "occurrences", "sentences")
 
 
 def oracle_sql() -> str:
-    """The same as SQL."""
+    """The same as SQL, for sentences that are lines of their own and without ``MORE_SENTENCES``."""
     values = ", ".join(f"('{i}', '{s}')" for i, s in SENTENCES)
     steps, last = [], "sequences"
     for i, (_, _, sentences) in enumerate(RULES):
