@@ -72,3 +72,12 @@ def test_only_built_in_functions(documents):
     docs = documents(["a b c", "a b c"])
     plan = ld.without_repeated_lines(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_near_copies_across_rows_without_an_id(spark):
+    rows = [(None, "a b c d e"), (4, "a b c d e f\nmore"), (None, "k l m n o"), (None, "k l m n o p"), (None, "only here"), (None, None)]
+    found = ld.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = [r.text for r in found if r.doc_id is None]
+    assert [r.text for r in found if r.doc_id == 4] == ["more"]
+    assert sum(t in ("k l m n o", "k l m n o p") for t in texts) == 1 and texts.count("") == 1
+    assert len(texts) == 5 and {"a b c d e", "only here", None} <= set(texts)

@@ -73,9 +73,17 @@ def _ceil(share: Fraction, n: Column) -> Column:
     return F.floor((n * share.numerator + (share.denominator - 1)) / share.denominator).cast("int")
 
 
+def _key(id_col: str, text_col: str) -> Column:
+    """The id; a row without one is told from others by two hashes of its text. The key is never null."""
+    no_id = F.col(id_col).isNull()
+    return F.struct(
+        F.col(id_col).alias("id"), F.when(no_id, F.xxhash64(text_col)).alias("h1"), F.when(no_id, F.hash(text_col)).alias("h2")
+    )
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(text, "\n")).alias("line", "text"))
+    return docs.select(_key(id_col, text_col).alias("doc"), F.posexplode(F.split(text, "\n")).alias("line", "text"))
 
 
 def line_classes(docs: DataFrame, id_col: str, text_col: str, sketch: bytes, similarity: Fraction) -> DataFrame:
@@ -166,7 +174,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, sim
     ends = pairs.select(F.explode(F.array("y", "x")).alias("at"))
     needed = ends.select(F.col("at.doc").alias("doc"), F.col("at.line").alias("line")).distinct()
     needed = stage(needed.groupBy("doc").agg(F.collect_list("line").alias("lines")), "line-ends")
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(needed, "doc")
+    texts = docs.select(_key(id_col, text_col).alias("doc"), F.col(text_col).alias("text")).join(needed, "doc")
     wanted = texts.select("doc", F.split("text", "\n").alias("all"), F.explode("lines").alias("line"))
     sets = wanted.where(F.col("line") < F.size("all")).select(
         F.struct("doc", "line").alias("at"), _words(F.expr("all[line]")).alias("words")
@@ -203,15 +211,16 @@ def without_repeated_lines(
 ) -> DataFrame:
     """``docs`` with the text of every row without the lines that are like an earlier line.
 
-    Lines are compared over all documents, in the order of id (null first) and place. A
+    Lines are compared over all documents, in the order of id (null first, by hash of the text) and place. A
     line goes if the words of some earlier line, kept or not, have at least the given
     Jaccard similarity with its own, each word counted once. Lines without words stay; so
     does a null text. No row goes: a text whose lines all go becomes empty. Rows with
-    the same id share their decisions, so that repeated rows stay repeated.
+    the same id share their decisions, without an id those with the same text, so that
+    repeated rows stay repeated.
     """
     kept = first_lines(docs, id_col, text_col, similarity)
     kept = stage(kept.groupBy(F.col("at.doc").alias("kept_doc")).agg(F.collect_list("at.line").alias("kept_lines")), "line-kept")
-    joined = docs.join(kept, docs[id_col].eqNullSafe(kept["kept_doc"]), "left")
+    joined = docs.join(kept, _key(id_col, text_col) == kept["kept_doc"], "left")
     blank = lambda line: F.size(_words(line)) == 0
     stays = lambda line, i: F.array_contains(F.coalesce(kept["kept_lines"], F.array().cast("array<int>")), i) | blank(line)
     text = F.array_join(F.filter(F.split(docs[text_col], "\n"), stays), "\n")
