@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackuse.llm import bpe, chat, decontamination, fingerprints, html_extraction, licenses, line_dedup, quality, simhash, toxicity
+from trackuse.llm import (
+    bpe,
+    chat,
+    decontamination,
+    fingerprints,
+    hard_negatives,
+    html_extraction,
+    licenses,
+    line_dedup,
+    quality,
+    simhash,
+    token_counts,
+    toxicity,
+    whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +105,18 @@ def op9_line_dedup(spark, sf):
 @query()
 def op10_simhash(spark, sf):
     return simhash.near_duplicate_components(table(spark, sf, "documents"))
+
+
+@query(hard_negatives.SQL)
+def op11_hard_negatives(spark, sf):
+    return hard_negatives.mined(table(spark, sf, "embeddings"))
+
+
+@query()
+def op12_token_counts(spark, sf):
+    return token_counts.counted(table(spark, sf, "documents"), vocabulary())
+
+
+@query()
+def op13_whitening(spark, sf):
+    return whitening.whitened(table(spark, sf, "embeddings"))
