@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackuse.functions.project import mercator
-from trackuse.sources.staging import stage
+from trackuse.operators import outline_cells as cells
+
+FARTHEST_M = 1e9
 
 
 def clip_box(
@@ -17,79 +19,54 @@ def clip_box(
     return df.filter(F.col(x).between(*xlim) & F.col(y).between(*ylim))
 
 
-def _edges_by_band(polygons: DataFrame, regions: Sequence[str], band_m: float) -> DataFrame:
-    """One row per horizontal band: the outline edges that touch it, per region, with their west and east ends.
-
-    One more outline is all regions together without the edges that two of them
-    share: a fix on such a border touches nothing there.
-    """
+def _edges(polygons: DataFrame, regions: Sequence[str]) -> DataFrame:
+    """The edges of the named outlines in Mercator metres, rings closed: ``outline, x1, y1, x2, y2``."""
     corners = F.transform(
         "vertices",
         lambda p: F.struct(*[c.alias(n) for c, n in zip(mercator(p["x"], p["y"]), ("x", "y"))]),
     )
-    last = F.size("corners")
-    closed = F.transform(
-        F.sequence(F.lit(1), last),
-        lambda i: F.struct(
-            F.element_at("corners", i).alias("a"),
-            F.element_at("corners", F.when(i < last, i + 1).otherwise(1)).alias("b"),
-        ),
-    )
-    edges = (
-        polygons.filter(F.col("region").isin(*regions))
-        .select("region", corners.alias("corners"))
-        .select("region", F.inline(closed))
-        .select(
-            "region",
-            F.col("a.x").alias("x1"),
-            F.col("a.y").alias("y1"),
-            F.col("b.x").alias("x2"),
-            F.col("b.y").alias("y2"),
-        )
-        .filter("x1 <> x2 OR y1 <> y2")
-    )
-    ends = [F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in (1, 2)]
-    unshared = (
-        edges.groupBy(F.least(*ends).alias("a"), F.greatest(*ends).alias("b"))
-        .agg(F.count("*").alias("n"))
-        .filter("n % 2 = 1")
-        .selectExpr("CAST(NULL AS STRING) AS region", "a.x AS x1", "a.y AS y1", "b.x AS x2", "b.y AS y2")
-    )
-    low, high = (F.floor(f("y1", "y2") / band_m) for f in (F.least, F.greatest))
-    return (
-        edges.unionByName(unshared)
-        .withColumn("band", F.explode(F.sequence(low, high)))
-        .groupBy("band", "region")
+    rings = polygons.filter(F.col("region").isin(*regions)).select(F.col("region").alias("outline"), corners.alias("corners"))
+    # one corner a row, and the next one from the ring itself
+    each = rings.select("outline", "corners", F.posexplode("corners").alias("i", "a"))
+    following = F.get("corners", F.expr("(i + 1) % size(corners)"))
+    ends = each.select("outline", "a", following.alias("b")).selectExpr("outline", "a.x AS x1", "a.y AS y1", "b.x AS x2", "b.y AS y2")
+    finite = " AND ".join(f"abs({n}) < {FARTHEST_M}D" for n in cells.ENDS)
+    return ends.filter(finite).filter("x1 <> x2 OR y1 <> y2")
+
+
+# Whether a point of a border cell is inside: of one outline, touching none of its edges, or of
+# all together. All together, edges that two outlines share are no border.
+_CROSSES = f"{cells.crosses_west('e.', '_x', '_y', '_east')} <> {cells.crosses_north('e.', '_east', '_south', '_y')}"
+_ON_EDGE = cells.touches("e.", "_x", "_y")
+_TESTS = f"""transform(outlines, o -> struct(
+    aggregate(o.edges, o.inside, (odd, e) -> odd <> ({_CROSSES})) AS odd,
+    exists(o.edges, e -> {_ON_EDGE}) AS touched,
+    exists(o.edges, e -> NOT e.shared AND {_ON_EDGE}) AS at_rim))"""
+_INSIDE = """exists(_tests, t -> t.odd AND NOT t.touched)
+    OR aggregate(_tests, false, (odd, t) -> odd <> t.odd) AND NOT exists(_tests, t -> t.at_rim)"""
+
+
+def _inside_crowded(places: DataFrame, rest: DataFrame, side: float) -> DataFrame:
+    """``_x, _y`` of the places inside, in cells whose edges are too many for one row: edges are summed one by one."""
+    east, south = cells.line("cx + 1", cells.number(side), 0), cells.line("cy", cells.number(side), 1)
+    crosses = F.expr(f"{cells.crosses_west('', '_x', '_y', east)} <> {cells.crosses_north('', east, south, '_y')}")
+    touched = F.expr(cells.touches("", "_x", "_y"))
+    tests = (
+        places.join(rest, cells.CELL)
+        .groupBy("_x", "_y", "outline", "inside")
         .agg(
-            F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"),
-            F.min(F.least("x1", "x2")).alias("west"),
-            F.max(F.greatest("x1", "x2")).alias("east"),
+            F.sum(crosses.cast("int")).alias("n"),
+            F.max(touched).alias("touched"),
+            F.max(touched & ~F.col("shared")).alias("at_rim"),
         )
-        .groupBy("band")
-        .agg(F.collect_list(F.struct("west", "east", "edges")).alias("outlines"))
+        .withColumn("odd", F.col("inside") != (F.col("n") % 2 == 1))
     )
-
-
-def _strictly_inside(edges: Column, x: Column, y: Column) -> Column:
-    """Crossing parity of a ray to the right; points on an edge are outside."""
-
-    def side(e: Column) -> Column:
-        return (e["x2"] - e["x1"]) * (y - e["y1"]) - (x - e["x1"]) * (e["y2"] - e["y1"])
-
-    def crosses(e: Column) -> Column:
-        up = (e["y1"] <= y) & (y < e["y2"]) & (side(e) > 0)
-        down = (e["y2"] <= y) & (y < e["y1"]) & (side(e) < 0)
-        return up | down
-
-    def touches(e: Column) -> Column:
-        return (
-            (side(e) == 0)
-            & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-            & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
-        )
-
-    odd = F.aggregate(edges, F.lit(False), lambda inside, e: inside != crosses(e))
-    return odd & ~F.exists(edges, touches)
+    found = tests.groupBy("_x", "_y").agg(
+        F.max(F.col("odd") & ~F.col("touched")).alias("one"),
+        (F.sum(F.col("odd").cast("int")) % 2 == 1).alias("together"),
+        F.max("at_rim").alias("at_rim"),
+    )
+    return found.where("one OR (together AND NOT at_rim)").select("_x", "_y")
 
 
 def points_in_region(
@@ -104,16 +81,33 @@ def points_in_region(
 
     ``polygons``: region, ring_id, vertices array<struct<x,y>> in degrees; holes
     are further rings of the same region. The test runs in Mercator metres, as
-    outlines are straight there. A fix on a border that two of the outlines share,
-    with equal corners, is inside. In a band only outlines that reach as far west and
-    east as the fix are tested edge by edge.
-
-    Edges are staged per band, so their file size decides whether Spark
-    broadcasts them (points are then not shuffled) or joins by shuffle.
+    outlines are straight there. A fix on a border that two of the outlines share
+    is inside, also where one of them has further corners on it (within a centimetre).
+    Points without coordinates, and outlines without corners, give nothing.
+
+    Outlines become cells (``outline_cells``) whose sides are ``band_m`` times or divided by powers of
+    four. A point in a cell wholly inside is settled by the join alone; in a border cell
+    it meets that cell's edges, 64 at most. The cells are staged, so their file size
+    decides whether Spark broadcasts them (points are then not shuffled) or joins by
+    shuffle. Every level of cells that outlines need, usually one to three, is one look-up.
     """
+    found, sides, rest = cells.cover(_edges(polygons, regions), band_m)
     mx, my = mercator(lon, lat)
-    bands = stage(_edges_by_band(polygons, regions, band_m), "outline-edges")
-    placed = points.withColumns({"_x": mx, "_y": my}).withColumn("band", F.floor(F.col("_y") / band_m))
-    x, y = F.col("_x"), F.col("_y")
-    inside = F.exists("outlines", lambda o: x.between(o["west"], o["east"]) & _strictly_inside(o["edges"], x, y))
-    return placed.join(bands, "band").filter(inside).drop("band", "outlines", "_x", "_y")
+    placed = points.select(F.struct("*").alias("_point"), mx.alias("_x"), my.alias("_y"))
+    placed = placed.where(f"abs(_x) < {FARTHEST_M}D AND abs(_y) < {FARTHEST_M}D")
+    keys = [
+        f"struct({level} AS level, {cells.index_of('_x', cells.number(s), 0)} AS cx, {cells.index_of('_y', cells.number(s), 1)} AS cy)"
+        for level, s in enumerate(sides)
+    ]
+    looked = placed.selectExpr("*", f"inline(array({', '.join(keys)}))")
+    met = looked.join(found, cells.CELL)
+    side = f"element_at(array({', '.join(map(cells.number, sides))}), level + 1)"
+    met = met.selectExpr("*", f"{cells.line('cx + 1', side, 0)} AS _east", f"{cells.line('cy', side, 1)} AS _south")
+    met = met.selectExpr("*", f"IF(outlines IS NULL, NULL, {_TESTS}) AS _tests")
+    kept = met.where(f"outlines IS NULL OR {_INSIDE}").select("_point.*")
+    if rest is None:
+        return kept
+    at_last = looked.where(F.col("level") == len(sides) - 1)
+    crowded = at_last.join(rest.select(*cells.CELL).distinct(), cells.CELL, "left_semi")
+    settled = _inside_crowded(crowded.select("_x", "_y", *cells.CELL).distinct(), rest, sides[-1])
+    return kept.unionByName(crowded.join(settled, ["_x", "_y"], "left_semi").select("_point.*"))

@@ -29,17 +29,18 @@ def application_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/trackuse-{spark.sparkContext.applicationId}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, free_shuffles: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 
     All tables of one application lie in one folder, to be removed after it
-    with ``cleanup``.
+    with ``cleanup``, or one by one with ``discard``. ``free_shuffles`` collects the driver's
+    garbage, so that Spark drops the shuffle files behind the table at once, not some time later.
     """
     spark = df.sparkSession
     path = f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # Spark drops the shuffle files behind a written table once the driver collects its garbage
-    spark.sparkContext._jvm.System.gc()
+    if free_shuffles:
+        spark.sparkContext._jvm.System.gc()
     staged = spark.read.schema(df.schema).parquet(path)
     staged.staged_path = path
     return staged
