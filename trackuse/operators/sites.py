@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackuse.fixed_values import REFERENCE_POINTS
@@ -13,56 +14,92 @@ from trackuse.operators.ordering import no_nan
 from trackuse.sources.staging import stage
 
 
-def grouped_median(
-    df: DataFrame, key: str, cols: Sequence[str], bin_width: float = 0.001
-) -> DataFrame:
-    """Exact median per group (mean of the two middle values), nulls ignored.
+FIRST_BITS, MORE_BITS = 13, 12  # of a value's fraction, told apart by the first narrowing and by each later one
+NARROWINGS = 5  # 13 + 4 * 12 bits: more than the 52 of a double
+FEW = 10_000  # rows of a bin that are ranked in one task
+
 
-    A first pass counts values per bin, which combines before the shuffle, and
-    locates the one or two bins that hold the middle ranks. A second pass ranks
-    the values of those bins only. No task ever holds all values of a group; the
-    bins of one group are limited by the value range over ``bin_width``. ``df``
-    is read twice, so stage it if it is costly to compute.
+def _digits(value: Column, rounds: int) -> Column:
+    """The leading bits of a number, as a long that never falls as the number rises.
+
+    Without rounds: sign, binary exponent and ``FIRST_BITS`` bits of the fraction. With
+    more rounds: sign and that many more bits, without the exponent. Numbers below 2**-1000 in size
+    have the bits of zero.
     """
-    pairs = [F.struct(F.lit(c).alias("axis"), no_nan(df, c).alias("value")) for c in cols]
-    values = df.select(key, F.inline(F.array(*pairs))).withColumn(
-        "bin", F.floor(F.col("value") / bin_width)
+    size = F.abs(value)
+    exponent = F.least(F.greatest(F.floor(F.log2(size)), F.lit(-1000)), F.lit(1023)).cast("long")
+    # the logarithm may be one off next to a power of two: such numbers join the next bin
+    fraction = F.least(F.greatest(size * F.pow(F.lit(2.0), -exponent), F.lit(1.0)), F.lit(2.0 - 2.0**-52))
+    bits = F.floor((fraction - 1) * 2.0 ** (FIRST_BITS + MORE_BITS * rounds))
+    found = bits if rounds else (exponent + 1001) * (1 << FIRST_BITS) + bits
+    zero = F.lit(0).cast("long")
+    return F.when(size < 2.0**-1000, zero).when(value < 0, -1 - found).otherwise(found)
+
+
+def _middle(values: DataFrame, bins: Sequence[str], within: Sequence[str]) -> DataFrame:
+    """The bins of ``values`` that hold a middle rank: ``n`` values between ``lo`` and ``hi``, ``start`` before them."""
+    along = Window.partitionBy(*within).orderBy(F.col(bins[-1]).asc_nulls_last())
+    counted = values.groupBy(*bins, "start", "low", "high").agg(
+        F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
     )
-    along = Window.partitionBy(key, "axis")
-    bins = (
-        values.groupBy(key, "axis", "bin")
-        .agg(F.count("value").alias("n"))
-        .withColumn("upto", F.sum("n").over(along.orderBy(F.col("bin").asc_nulls_last())))
-        .withColumn("total", F.sum("n").over(along))
-        .withColumn("start", F.col("upto") - F.col("n"))
-        # the two middle ranks; equal when the total is odd
-        .withColumn("low", F.expr("(total + 1) div 2"))
-        .withColumn("high", F.expr("(total + 2) div 2"))
-    )
-    holds_middle = (F.col("n") > 0) & (F.col("upto") >= F.col("low")) & (F.col("start") < F.col("high"))
-    # groups without any value keep a row
-    middle = bins.filter(holds_middle | (F.col("total") == 0))
-    middle = stage(middle.select(key, "axis", "bin", "start", "low", "high"), "middle-bins")
-    inside = Window.partitionBy(key, "axis", "bin").orderBy("value")
-
-    def at_rank(rank: str):
-        return F.max(F.when(F.col(rank).between(F.col("first"), F.col("last")), F.col("value")))
-
-    picked = (
-        values.join(middle, [key, "axis", "bin"])
-        .groupBy(key, "axis", "bin", "start", "low", "high", "value")
-        .agg(F.count("*").alias("n"))
-        .withColumn("last", F.col("start") + F.sum("n").over(inside))
-        .withColumn("first", F.col("last") - F.col("n") + 1)
-        .groupBy(key, "axis")
-        .agg(((at_rank("low") + at_rank("high")) / 2).alias("median"))
-    )
-    return (
-        middle.select(key, "axis")
-        .distinct()
-        .join(picked, [key, "axis"], "left")
-        .groupBy(key)
-        .agg(*[F.max(F.when(F.col("axis") == c, F.col("median"))).alias(c) for c in cols])
+    counted = counted.withColumn("upto", F.col("start") + F.sum("n").over(along)).withColumn("start", F.col("upto") - F.col("n"))
+    return counted.where("n > 0 AND upto >= low AND start < high").drop("upto")
+
+
+def _same(bins: Sequence[str]) -> Column:
+    return reduce(lambda p, q: p & q, [F.col(f"v.{c}").eqNullSafe(F.col(f"m.{c}")) for c in bins])
+
+
+def grouped_median(df: DataFrame, key: str, cols: Sequence[str], bin_width: float = 0.001) -> DataFrame:
+    """Exact median per group (mean of the two middle values), nulls and NaN ignored; null for a group without values.
+
+    Values are counted in bins of ``bin_width``, which combines before the shuffle, and the
+    one or two bins that hold the middle ranks are located. Where such a bin has more
+    than ``FEW`` rows of different values, a radix selection narrows it by the leading bits
+    of its values: at most five times, as a double has no more bits. The rows of
+    what is left are ranked, so a task that ranks holds ``FEW`` rows of a bin, whatever
+    the group and however dense its values. Every narrowing reads ``df``, so stage it if it is
+    costly to compute.
+    """
+    pairs = [F.struct(F.lit(c).alias("axis"), no_nan(df, c).alias("value")) for c in cols]
+    values = df.select(F.col(key).alias("group"), F.inline(F.array(*pairs)))
+    bins = ["group", "axis", "bin"]
+    values = values.withColumn("value", F.col("value").cast("double")).withColumn("bin", F.floor(F.col("value") / bin_width))
+    total = values.groupBy("group", "axis").agg(F.count("value").alias("total"))
+    # the two middle ranks; equal when the total is odd
+    ranks = total.selectExpr("`group`", "axis", "(total + 1) div 2 AS low", "(total + 2) div 2 AS high", "0L AS start")
+    ranks = stage(ranks, "median-ranks")
+    ranked = values.where("value IS NOT NULL").alias("v").join(ranks.alias("m"), _same(bins[:2]))
+    middle = stage(_middle(ranked.select("v.*", "m.low", "m.high", "m.start"), bins, bins[:2]), "middle-bins")
+    dense = (F.col("n") > FEW) & (F.col("lo") < F.col("hi"))
+    picked = []
+    for round_ in range(NARROWINGS + 1):
+        # bins of one value need no ranking
+        one = middle.where("lo = hi").selectExpr("`group`", "axis", "lo AS value", "start + 1 AS first", "start + n AS last", "low", "high")
+        few = middle.where((F.col("lo") < F.col("hi")) & (F.lit(round_ == NARROWINGS) | ~dense))
+        inside = Window.partitionBy(*bins).orderBy("value")
+        rows = (
+            values.alias("v")
+            .join(few.alias("m"), _same(bins))
+            .groupBy(*[F.col(f"v.{c}") for c in bins], "start", "low", "high", "value")
+            .agg(F.count("*").alias("n"))
+            .withColumn("last", F.col("start") + F.sum("n").over(inside))
+            .withColumn("first", F.col("last") - F.col("n") + 1)
+        )
+        picked += [one, rows.select(*one.columns)]
+        many = middle.where(dense)
+        if round_ == NARROWINGS or many.isEmpty():
+            break
+        name = f"bin{round_ + 1}"
+        kept = values.alias("v").join(many.alias("m"), _same(bins)).select("v.*", "m.low", "m.high", "m.start")
+        kept = kept.withColumn(name, _digits(F.col("value"), round_))
+        middle = stage(_middle(kept, [*bins, name], bins), "middle-bins")
+        values, bins = values.withColumn(name, _digits(F.col("value"), round_)), [*bins, name]
+    at_rank = lambda rank: F.max(F.when(F.col(rank).between(F.col("first"), F.col("last")), F.col("value")))
+    medians = reduce(DataFrame.unionByName, picked).groupBy("group", "axis").agg(((at_rank("low") + at_rank("high")) / 2).alias("median"))
+    found = ranks.alias("v").join(medians.alias("m"), _same(["group", "axis"]), "left").select("v.group", "v.axis", "median")
+    return found.groupBy(F.col("group").alias(key)).agg(
+        *[F.max(F.when(F.col("axis") == c, F.col("median"))).alias(c) for c in cols]
     )
 
 
