@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackuse.fixed_values import REFERENCE_POINTS, REQUIRED_COLUMNS, TAG_SITES
+from trackuse.sources.records import csv_records
+from trackuse.sources.staging import stage
 
 LOCATION_SCHEMA = T.StructType(
     [
@@ -24,6 +27,7 @@ LOCATION_SCHEMA = T.StructType(
         T.StructField("deploy_on_timestamp", T.StringType()),
     ]
 )
+_CSV = {"nullValue": "NA", "escape": '"'}
 _TYPES = {f.name: f.dataType for f in LOCATION_SCHEMA.fields}
 
 
@@ -34,48 +38,93 @@ def require_columns(df: DataFrame, cols: Iterable[str] = REQUIRED_COLUMNS) -> Da
     return df
 
 
-def _files_by_header(spark: SparkSession, paths: Iterable[str]) -> dict[tuple[str, ...], list[str]]:
-    """Column names to the files that start with them, one entry per distinct header line.
+def _first_lines(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+    """``file, header``: the first line of every file that has one.
 
-    Headers are read by tasks; what comes back is one line for each file.
+    A session of its own gives every file a task of its own. The task stops after one
+    line, and lines come to it one by one, so it reads a buffer's length whatever the file's size.
     """
-    lines = spark.read.text(list(paths)).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
+    own = spark.newSession()
+    whole = str(1 << 60)
+    settings = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    for name in settings:
+        own.conf.set(name, whole)
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    alone = all(own.conf.get(name) == whole for name in settings)
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            file = batch.column("file")[0].as_py()
+            if batch.column("start")[0].as_py() == 0 and file not in seen:
+                seen.add(file)
+                yield batch.slice(0, 1).select(["file", "header"])
+                if alone:
+                    return
+
+    lines = own.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").alias("header"), F.col("_metadata.file_block_start").alias("start")
     )
-    # the first line of a file is the first one of its first block
-    firsts = lines.filter(F.col("start") == 0).groupBy("file").agg(F.first("value").alias("header"))
-    found: dict[tuple[str, ...], list[str]] = {}
-    for row in firsts.orderBy("file").collect():
-        names = tuple(next(csv.reader([row["header"].lstrip("\ufeff")])))
-        found.setdefault(names, []).append(row["file"])
-    if not found:
-        raise ValueError(f"no header in {', '.join(paths)}")
-    return found
+    found = stage(lines.mapInArrow(firsts, "file string, header string"), "csv-headers")
+    return spark.read.schema(found.schema).parquet(found.staged_path)
+
+
+def _typed(raw: DataFrame, columns: dict[str, Column], problems: Observation | None) -> DataFrame:
+    """The columns by name, known ones cast; ``problems`` counts the values that are no number as the rows pass."""
+    typed = raw.select("_file", *[c.alias(n) for n, c in columns.items()])
+    known = [n for n in columns if n in _TYPES and _TYPES[n] != T.StringType()]
+    cast = {n: F.col(f"`{n}`").try_cast(_TYPES[n]) for n in known}
+    if problems and known:
+        bad = [F.count_if(F.col(f"`{n}`").isNotNull() & c.isNull()).alias(n) for n, c in cast.items()]
+        typed = typed.observe(problems, *bad)
+    return typed.select(*[cast.get(n, F.col(f"`{n}`")).alias(n) for n in columns], "_file")
 
 
-def _read_csv(spark: SparkSession, paths: Iterable[str], multi_line: bool = False) -> DataFrame:
+def _read_csv(
+    spark: SparkSession, paths: Iterable[str], multi_line: bool = False, problems: Observation | None = None
+) -> DataFrame:
     """CSV with a header. ``NA`` and blanks are null, a quoted ``""`` is text.
 
-    Files may list columns in any order and lack some: there is one scan per
-    distinct header. Column types are never guessed: an all-digit identifier stays
-    text. Known columns are cast by name, and a malformed number becomes null.
-    ``multi_line`` allows line breaks inside quoted texts, at the cost of reading
-    each file in one task. Adds ``_file``.
+    Files may list columns in any order and lack some. All are read in one scan, by
+    place; a file's header, of which only the distinct ones come to the driver, gives the names. Column
+    types are never guessed: an all-digit identifier stays text. Known columns are
+    cast by name; a malformed number becomes null and is counted in ``problems``, which
+    has a count per column after the first action on the table.
+    ``multi_line`` allows line breaks inside quoted texts; files are still split (``records``), but lines are
+    shuffled once and read twice. Adds ``_file``.
     """
-    parts = []
-    for names, files in _files_by_header(spark, paths).items():
-        reader = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
-        reader = reader.option("header", True).option("nullValue", "NA").option("escape", '"')
-        raw = reader.option("multiLine", multi_line).csv(files)
-        known = [F.col(f"`{n}`").try_cast(_TYPES[n]).alias(n) if n in _TYPES else F.col(f"`{n}`") for n in names]
-        parts.append(raw.select(*known, F.col("_metadata.file_path").alias("_file")))
-    return union_studies(parts)
+    paths = list(paths)
+    headers = _first_lines(spark, paths)
+    lines = sorted(r["header"] for r in headers.select("header").distinct().collect())
+    if not lines:
+        raise ValueError(f"no header in {', '.join(paths)}")
+    names = [next(csv.reader([line.lstrip("\ufeff")])) for line in lines]
+    places = [f"c{i}" for i in range(max(map(len, names)))]
+    schema = T.StructType([T.StructField(p, T.StringType()) for p in places])
+    if multi_line:
+        parsed = F.from_csv("record", schema.simpleString()[len("struct<") : -1].replace(":", " "), _CSV)
+        raw = csv_records(spark, paths).select(parsed.alias("_row"), "_file").select("_row.*", "_file")
+    else:
+        raw = spark.read.schema(schema).options(header=True, **_CSV).csv(paths)
+        raw = raw.select("*", F.col("_metadata.file_path").alias("_file"))
+    if len(lines) == 1:
+        columns = {n: F.col(p) for n, p in zip(names[0], places)}
+    else:
+        raw = raw.join(headers.withColumnRenamed("file", "_file"), "_file")
+        columns = {n: F.lit(None).cast("string") for own in names for n in own}
+        for line, own in zip(lines, names, strict=True):
+            for n, p in zip(own, places):
+                columns[n] = F.when(F.col("header") == line, F.col(p)).otherwise(columns[n])
+    return _typed(raw, columns, problems)
 
 
-def read_locations(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False) -> DataFrame:
+def read_locations(
+    spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False, problems: Observation | None = None
+) -> DataFrame:
     """The location table; fails early when a required column is missing."""
-    df = _read_csv(spark, [path], multi_line).drop("_file") if fmt == "csv" else spark.read.format(fmt).load(path)
-    return require_columns(df)
+    if fmt == "csv":
+        return require_columns(_read_csv(spark, [path], multi_line, problems).drop("_file"))
+    return require_columns(spark.read.format(fmt).load(path))
 
 
 def _qualified(spark: SparkSession, path: str) -> str:
@@ -84,11 +133,15 @@ def _qualified(spark: SparkSession, path: str) -> str:
 
 
 def read_studies(
-    spark: SparkSession, paths: Mapping[str, str], fmt: str = "csv", multi_line: bool = False
+    spark: SparkSession,
+    paths: Mapping[str, str],
+    fmt: str = "csv",
+    multi_line: bool = False,
+    problems: Observation | None = None,
 ) -> DataFrame:
     """Landed exports, ``{study name: path}``, stacked with their study name.
 
-    CSV files are scanned once per distinct header, however many studies there
+    CSV files are read in one scan, however many studies and headers there
     are, and get their study from their path; paths must be files or folders
     without wildcards. Serves fixes and deployments alike.
     """
@@ -97,7 +150,7 @@ def read_studies(
             spark.read.format(fmt).load(path).withColumn("study_name", F.lit(name)) for name, path in paths.items()
         )
     places = spark.createDataFrame([(n, _qualified(spark, p)) for n, p in paths.items()], "study_name string, _place string")
-    rows = _read_csv(spark, paths.values(), multi_line)
+    rows = _read_csv(spark, paths.values(), multi_line, problems)
     if "study_name" in rows.columns:
         rows = rows.drop("study_name")
     # a landed path is the file itself or its folder
@@ -115,7 +168,7 @@ def write_locations(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """CSV keeps line breaks of texts; read them back with ``multi_line``."""
     writer = df.write.mode("overwrite")
     if fmt == "csv":
-        writer.option("header", True).option("nullValue", "NA").option("escape", '"').csv(path)
+        writer.options(header=True, **_CSV).csv(path)
     else:
         writer.format(fmt).save(path)
 
