@@ -60,18 +60,14 @@ def test_equal_lines_and_blank_records(spark, tmp_path, small_blocks):
     assert got == sorted(['"a\nb"', '"a\nb"', "c", "c", '"open\nto the end'])
 
 
-def test_headers_are_read_without_the_rest(spark, tmp_path):
+def test_one_header_for_each_file_that_has_one(spark, tmp_path, small_blocks):
     rng = random.Random(3)
-    written(tmp_path / "large.csv", [record(rng, i, "x" * 200) for i in range(160_000)])
-    size = (tmp_path / "large.csv").stat().st_size
-    store = spark.sparkContext._jsc.sc().statusStore()
-    tracker = spark.sparkContext.statusTracker()
-    spark.sparkContext.setJobGroup("headers", "headers")
-    assert rows(_first_lines(spark, [str(tmp_path / "large.csv")]).select("header")) == [(",".join(HEADER),)]
-    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    stages = [s for j in tracker.getJobIdsForGroup("headers") for s in tracker.getJobInfo(j).stageIds]
-    read = sum(store.lastStageAttempt(s).inputBytes() for s in stages)
-    assert size > 32_000_000 and 0 < read < 4_000_000
+    written(tmp_path / "large.csv", [record(rng, i, "x" * 200) for i in range(500)])
+    (tmp_path / "other.csv").write_text("\ufeffa,b\n")
+    (tmp_path / "empty.csv").write_text("")
+    found = {r["file"].rsplit("/", 1)[1]: r["header"] for r in _first_lines(spark, [str(tmp_path)]).collect()}
+    assert found == {"large.csv": ",".join(HEADER), "other.csv": "a,b"}
+    assert _first_lines(spark, [str(tmp_path / "empty.csv")]).count() == 0
 
 
 def test_one_scan_whatever_the_headers(spark, tmp_path):

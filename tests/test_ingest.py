@@ -4,6 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from trackuse.fixed_values import DROPPED_COLUMNS
+from trackuse.operators import ingest
 from trackuse.operators.ingest import (
     clean_import,
     dedup_first,
@@ -100,3 +101,17 @@ def test_import_equals_join_then_dedup(spark):
 def test_column_filled_only_late_is_kept(spark):
     df = spark.range(5_000).selectExpr("id", "CASE WHEN id = 4999 THEN 1.5D ELSE double('NaN') END AS late", "CAST(NULL AS INT) AS never")
     assert drop_all_null(df).columns == ["id", "late"]
+
+
+def test_fixes_are_computed_once(spark, monkeypatch):
+    plans = []
+    plain = ingest.stage
+    monkeypatch.setattr(ingest, "stage", lambda df, name: plans.append(df) or plain(df, name))
+    text = spark.range(60).selectExpr(
+        "'s' AS study_name", "'a' AS individual_local_identifier", "concat('2020-01-01 00:', lpad(id, 2, '0'), ':00') AS timestamp",
+        "(id * 7919 % 101) / 10D AS X", "(id * 104729 % 97) / 10D AS Y", "'ok' AS taxon_detail", "CAST(NULL AS STRING) AS empty",
+    )
+    deps = spark.createDataFrame([("s", "a", "2019-01-01")], "study_name string, individual_local_identifier string, deploy_on_timestamp string")
+    got = clean_import(text, deps)
+    reads = [df._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 60") for df in [*plans, got]]
+    assert sum(reads) == 1 and "empty" not in got.columns and "deploy_on_timestamp" in got.columns

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from trackuse.fixed_values import DROPPED_COLUMNS, EXCLUDED_TAXA, LEADING_COLUMNS
 from trackuse.functions.season import as_utc
 from trackuse.operators.ordering import first_n_per_group, no_nan, same_key
 from trackuse.operators.outliers import drop_outliers, flag_outliers
-from trackuse.sources.staging import stage
+from trackuse.sources.staging import discard, stage
 from trackuse.sources.tables import union_studies
 
 __all__ = [
@@ -63,6 +63,10 @@ def join_deployments(
     return fixes.join(named, same_key(fixes, named, pairs), "left").drop(*[b for _, b in pairs])
 
 
+def _fill_tests(df: DataFrame) -> list[Column]:
+    return [F.max(no_nan(df, c).isNotNull()).alias(f"c{i}") for i, c in enumerate(df.columns)]
+
+
 def filled_columns(df: DataFrame) -> list[str]:
     """Columns with a value in at least one row, found in one pass.
 
@@ -70,8 +74,14 @@ def filled_columns(df: DataFrame) -> list[str]:
     """
     if not df.columns:
         return []
-    tests = [F.max(no_nan(df, c).isNotNull()).alias(f"c{i}") for i, c in enumerate(df.columns)]
-    return [c for c, flag in zip(df.columns, df.agg(*tests).head()) if flag]
+    return [c for c, flag in zip(df.columns, df.agg(*_fill_tests(df)).head()) if flag]
+
+
+def _staged_with_filled(df: DataFrame, name: str) -> tuple[DataFrame, list[str]]:
+    """``df`` staged, and its filled columns, observed while it is written: ``df`` is computed once."""
+    seen = Observation()
+    staged = stage(df.observe(seen, *_fill_tests(df)), name)
+    return staged, [c for i, c in enumerate(df.columns) if seen.get.get(f"c{i}")]
 
 
 def drop_all_null(df: DataFrame) -> DataFrame:
@@ -110,17 +120,17 @@ def clean_import(
     The result keeps one row per study, individual and time, so of several
     deployments only the first can survive. Reducing deployments to that row
     before the join avoids multiplying fixes; which deployment columns count as
-    empty is still judged over every deployment that meets a fix.
+    empty is still judged over every deployment that meets a fix. Fixes are read and
+    parsed once, and staged.
     """
     on = list(STUDY_KEYS)
-    fixes = fixes.withColumn("timestamp", as_utc(fixes, "timestamp"))
+    fixes, kept = _staged_with_filled(fixes.withColumn("timestamp", as_utc(fixes, "timestamp")), "import-fixes")
     fix_keys = fixes.select(*on).distinct()
     met = deps.join(fix_keys, same_key(deps, fix_keys, [(k, k) for k in on]), "left_semi")
     filled = [c for c in filled_columns(met) if c not in on]
     order = ["deploy_on_timestamp"] if "deploy_on_timestamp" in deps.columns else []
     first_dep = dedup_first(deps, on, order).select(*on, *[F.col(f"`{c}`") for c in filled])
 
-    kept = filled_columns(fixes)
     joined = join_deployments(fixes, first_dep, on, suffix)
     # names may clash only with fix columns that are themselves dropped as empty
     empty = [c for c in fixes.columns if c not in kept]
@@ -128,4 +138,5 @@ def clean_import(
     unique = dedup_first(tidy, [*on, "timestamp"])
     # read twice below: to find even ranges, and to cut them
     shaped = stage(exclude_taxa(reorder(drop_any(unique, drop)), values=taxa), "imported")
+    discard(fixes)
     return drop_outliers(flag_outliers(shaped, "individual_local_identifier", ["timestamp"], ["Y", "X"]))

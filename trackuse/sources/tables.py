@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackuse.fixed_values import REFERENCE_POINTS, REQUIRED_COLUMNS, TAG_SITES
+from trackuse.sources.layout import by_cycle_and_place
 from trackuse.sources.records import csv_records
 from trackuse.sources.staging import stage
 
@@ -41,8 +42,8 @@ def require_columns(df: DataFrame, cols: Iterable[str] = REQUIRED_COLUMNS) -> Da
 def _first_lines(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     """``file, header``: the first line of every file that has one.
 
-    A session of its own gives every file a task of its own. The task stops after one
-    line, and lines come to it one by one, so it reads a buffer's length whatever the file's size.
+    A session of its own gives every file a task of its own, which ends with the first line
+    and never sees the others. How far Spark reads ahead until then is not bounded.
     """
     own = spark.newSession()
     whole = str(1 << 60)
@@ -165,12 +166,16 @@ def union_studies(dfs: Iterable[DataFrame]) -> DataFrame:
 
 
 def write_locations(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """CSV keeps line breaks of texts; read them back with ``multi_line``."""
-    writer = df.write.mode("overwrite")
+    """Parquet is written by cycle and place (``layout``), so that boxes and periods prune it.
+
+    CSV keeps line breaks of texts; read them back with ``multi_line``.
+    """
     if fmt == "csv":
-        writer.options(header=True, **_CSV).csv(path)
-    else:
-        writer.format(fmt).save(path)
+        df.write.mode("overwrite").options(header=True, **_CSV).csv(path)
+        return
+    if {"X", "Y", "timestamp"} <= set(df.columns):
+        df = by_cycle_and_place(df)
+    df.write.mode("overwrite").format(fmt).save(path)
 
 
 def write_outputs(
