@@ -288,12 +288,15 @@ CTES["import_roll"] = _ROLL.format(
 )
 
 
-@query(
-    "import_locations",
-    """SELECT individual_local_identifier, study_name, timestamp, "X", "Y", ground_speed, deployment_id,
+IMPORTED = """SELECT individual_local_identifier, study_name, timestamp, "X", "Y", ground_speed, deployment_id,
               deploy_on_timestamp, visible_dep, outlier
        FROM (SELECT *, CASE WHEN y_dev <= 10 AND x_dev <= 10 THEN 'normal' END AS outlier FROM import_roll)
-       WHERE outlier = 'normal'""",
+       WHERE outlier = 'normal'"""
+
+
+@query(
+    "import_locations",
+    IMPORTED,
 )
 def _(spark, sf):
     out = ingest.clean_import(v.raw_fixes(spark, sf), v.deployments(spark, sf))
@@ -303,6 +306,23 @@ def _(spark, sf):
     )
 
 
+@query("import_landed", IMPORTED)
+def _(spark, sf):
+    """The same from landed CSV: each study's fixes and deployments written, read in one scan each, and imported."""
+    paths = {"fixes": {}, "deployments": {}}
+    for kind, table in (("fixes", v.raw_fixes(spark, sf)), ("deployments", v.deployments(spark, sf))):
+        for i, study in enumerate(("Study south holland", "BtgTagus 2019", "EXTREMADURA birds", "Other")):
+            part = table.filter(F.col("study_name") == study).drop("study_name")
+            paths[kind][study] = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}-{i}"
+            write_locations(part.select(*(reversed(part.columns) if i % 2 else part.columns)), paths[kind][study], "csv")
+    out = ingest.clean_import(*[read_studies(spark, p) for p in paths.values()])
+    typed = {c: F.col(c).cast(dict(v.deployments(spark, sf).dtypes)[c.removesuffix("_dep")]) for c in ("deployment_id", "visible_dep")}
+    return out.withColumns(typed).select(
+        ID, "study_name", "timestamp", "X", "Y", "ground_speed", "deployment_id",
+        "deploy_on_timestamp", "visible_dep", "outlier",
+    )
+
+
 # --- dates and projections ---------------------------------------------------
 
 _TEXT_SPARK = """CASE l_linenumber
@@ -986,6 +1006,18 @@ def _(spark, sf):
     return regions.clip_box(v.fixes(spark, sf), *REGION_BOXES["iberia"]).select(ID, "X", "Y", "timestamp")
 
 
+@query(
+    "clip_box_written",
+    f"""SELECT {_FIX} FROM fixes WHERE "X" BETWEEN -9.5 AND 4 AND "Y" BETWEEN 36 AND 44.5""",
+)
+def _(spark, sf):
+    """The same over locations written by cycle and place."""
+    path = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}"
+    write_locations(v.fixes(spark, sf), path)
+    back = read_locations(spark, path, "parquet")
+    return regions.clip_box(back, *REGION_BOXES["iberia"]).select(ID, "X", "Y", "timestamp")
+
+
 def _box(region: str, west: float, south: float, east: float, north: float):
     return (region, 1, [(west, south), (east, south), (east, north), (west, north)])
 
