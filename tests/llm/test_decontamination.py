@@ -75,3 +75,14 @@ def test_what_stands_before_and_case_do_not_hide_a_copy(spark, documents):
     got = found(spark, documents, texts, [item, ITEM], share=1.0)
     assert set(got) == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 1), (5, 1), (6, 0)}
     assert {k: v[2] for k, v in got.items() if v[2]} == {(1, 0): 1}
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    item = "the quick brown fox jumps over the lazy dog while nine cats watch"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, item), (None, "nothing of that kind is in this one here"), (4, f"well {item} indeed"), (4, "clean words under the same id as another"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'own' AS id", "'own' AS key")
+    kept = dc.without_contaminated(docs, bench).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == [
+        ("4", "clean words under the same id as another"), ("5", ""), ("None", "nothing of that kind is in this one here")
+    ]

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -97,3 +98,23 @@ def test_null_empty_and_repeated_pages_and_none(spark, pages):
     found = hx.main_texts(odd.unionByName(pages)).where("url is null or url in ('u', 'v')")
     assert sorted(r.text is None for r in found.collect()) == [False] * 4 and found.where("page_id < 3 and text = ''").count() == 2
     assert hx.main_texts(odd).where("text <> ''").count() == 0 and hx.main_texts(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "piece", ["<a ", "<a \"", "'\"<", "<div>", "<div>x", "<span>y ", "</b><i>", "<!-", "<a href='x\">", "<p class=\"a\" title='>'>t"]
+)
+def test_a_megabyte_of_broken_markup_takes_linear_time(piece):
+    page = piece * (1_000_000 // len(piece))
+    start = time.process_time()
+    hb.blocks(page)
+    assert time.process_time() - start < 30  # quadratic ways take many minutes
+
+
+def test_quotes_and_ends_of_tags():
+    read = lambda page: [b.text for b in hb.blocks(page)]
+    assert read("<p title='a > b'>one</p><p title=\"x'>\">two</p>") == ["one", "two"]
+    assert read('<p "x>one</p><p>two "quoted"</p>') == ["one", 'two "quoted"']
+    assert read('<p title="x>one</p><p>two') == ["one", "two"]
+    assert read("a < b <p>c<noscript>d</noscript></p><!-- e") == ["a < b", "cd"]
+    assert read("one <p") == ["one <p"] and read("one<!-- <p>two</p>") == ["one"]
+    assert hb.blocks("<div data-main='1'><p>in</p><div data-main='0'>out</div>again</div>after")[0].main

@@ -81,3 +81,13 @@ def test_near_copies_across_rows_without_an_id(spark):
     assert [r.text for r in found if r.doc_id == 4] == ["more"]
     assert sum(t in ("k l m n o", "k l m n o p") for t in texts) == 1 and texts.count("") == 1
     assert len(texts) == 5 and {"a b c d e", "only here", None} <= set(texts)
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    rows = [(1, "a b c d e"), (5, "unique words of this row"), (5, "a b c d"), (None, "a b c d e f"), (None, "other words in here")]
+    found = sorted(map(tuple, ld.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    # rows without an id come first, so the others repeat what the null row has
+    assert found == sorted([(1, ""), (5, "unique words of this row"), (5, ""), (None, "a b c d e f"), (None, "other words in here")], key=repr)
+    rows = [(1, "a b c d e"), (5, "a b c d e"), (5, "totally different words than those")]
+    found = sorted(map(tuple, ld.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert found == [(1, "a b c d e"), (5, ""), (5, "totally different words than those")]

@@ -106,3 +106,13 @@ def test_components_of_shapes(spark):
         parts.setdefault(r.label, set()).add(r.node)
     assert sorted(map(len, parts.values())) == [101, 102, 301]
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_one_row_of_a_component_stays_whatever_the_ids(spark):
+    a, b, c = ("first text of some words", "quite another text with words", "a third one that stands alone")
+    rows = [(None, a, "x"), (None, a, "y"), (7, b, "x"), (7, c, "z"), (7, c, "y"), (9, b, "x"), (None, b, "x"), (3, None, "x"), (None, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = sorted(map(tuple, sh.keep_one_per_component(docs).collect()), key=repr)
+    assert found == sorted([(None, a, "x"), (7, b, "x"), (7, c, "y"), (3, None, "x")], key=repr)
+    assert sh.keep_one_per_component(docs.limit(0)).count() == 0
+    assert sh.keep_one_per_component(docs.select("doc_id", "text")).count() == 4

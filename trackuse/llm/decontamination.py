@@ -186,14 +186,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     and one of fewer than four is not looked for. Windows of the documents first pass a bit table
     of fixed size; with a very large benchmark it lets all pass, and the join decides.
     """
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return _holding(rows, benchmark, share, "long")
+
+
+def _holding(docs: DataFrame, benchmark: DataFrame, share: float, id_type: str) -> DataFrame:
+    """The same for documents ``id, text`` whose ids have the given type."""
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("id"), "text")
     items = stage(items.mapInPandas(_item_rows, f"item_id long, {_WINDOW_TYPE}, width int, total int").distinct(), "benchmark-windows")
     top = F.shiftrightunsigned("hash", 64 - FILTER_BITS).cast("int")
     passing = np.zeros(1 << FILTER_BITS, bool)
     passing[items.select(top.alias("bit")).distinct().toArrow()["bit"].to_numpy()] = True  # at most 2**FILTER_BITS rows
     widths = sorted(r[0] for r in items.select("width").distinct().collect())
-    found = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = found.mapInPandas(_document_rows(passing, widths), f"doc_id long, {_WINDOW_TYPE}")
+    found = docs.mapInPandas(_document_rows(passing, widths), f"doc_id {id_type}, {_WINDOW_TYPE}")
     own = items.select("item_id", "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("total").alias("item_windows"))
     met = found.join(own, "hash").where(F.size("slots") == F.size("item_slots"))
     met = met.select(
@@ -226,6 +231,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, all columns as they are."""
-    held = stage(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("held_id")).distinct(), "contaminated")
-    return docs.join(held, docs[id_col] == held["held_id"], "left_anti")
+    """The rows of ``docs`` that hold no benchmark item, all columns as they are.
+
+    Every row is judged by its own text, also without an id or with the id of another row.
+    """
+    key = F.concat_ws(":", F.col(id_col).cast("string"), F.hex(F.xxhash64(text_col)), F.hex(F.hash(text_col)))
+    rows = docs.select(key.alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    held = stage(_holding(rows, benchmark, SHARE, "string").select(F.col("doc_id").alias("held_id")).distinct(), "contaminated")
+    return docs.join(held, key == held["held_id"], "left_anti")

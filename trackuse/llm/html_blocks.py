@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 from zlib import crc32
 
 FEATURE_BITS = 13
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?][^>]*>", re.S)
+# a value's quotes are paired once and for all; where the tag then has no end, the first ">" ends it
+_TAG = re.compile(
+    r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(?=>)|[^>]*+)>|<[!?][^>]*+>", re.S
+)
 _ATTRIBUTE = re.compile(r"(class|id|role|data-main)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -19,7 +23,7 @@ BLOCKS = frozenset(
     "tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("script style noscript template svg iframe object".split())
+HIDDEN = frozenset("script style template svg iframe object".split())
 ENDS_P = BLOCKS - frozenset("body html head title option".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table tr select body html article section div".split())
@@ -33,9 +37,22 @@ class Block(NamedTuple):
     main: bool
 
 
+ANCESTORS = 64  # nearest open elements that give a block features
+
+
+class _Open(NamedTuple):
+    """An open element; label and link are taken over from the one around it."""
+
+    tag: str
+    features: tuple[str, ...]
+    label: bool | None
+    linked: bool
+
+
 class _Reader:
     def __init__(self) -> None:
-        self.open: list[tuple[str, tuple[str, ...], bool | None]] = []  # tag, features, label
+        self.open: list[_Open] = []
+        self.tags: Counter[str] = Counter()
         self.parts: list[str] = []
         self.linked = 0
         self.found: list[tuple[str, int, tuple, bool]] = []
@@ -43,15 +60,15 @@ class _Reader:
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            labels = [x[2] for x in self.open if x[2] is not None]
-            self.found.append((text, self.linked, tuple(self.open), bool(labels and labels[-1])))
+            label = bool(self.open and self.open[-1].label)
+            self.found.append((text, self.linked, tuple(self.open[-ANCESTORS:]), label))
         self.parts, self.linked = [], 0
 
     def say(self, text: str) -> None:
         if text:
             text = html.unescape(text)
             self.parts.append(text)
-            if any(x[0] in ("a", "button") for x in self.open):
+            if self.open and self.open[-1].linked:
                 self.linked += len(text)
 
     def start(self, tag: str, attributes: str) -> None:
@@ -65,22 +82,27 @@ class _Reader:
             self.close(SAME[tag], SCOPE - SAME[tag])
         if tag in VOID:
             return
-        features, label = [f"t={tag}"], None
+        around = self.open[-1] if self.open else _Open("", (), None, False)
+        features, label = [f"t={tag}"], around.label
         for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
             value = "".join(values)
             if name.lower() == "data-main":
                 label = value == "1"
             else:
                 features += [f"c={w.lower()}" for w in _NAME.findall(value)]
-        self.open.append((tag, tuple(features), label))
+        self.open.append(_Open(tag, tuple(features), label, around.linked or tag in ("a", "button")))
+        self.tags[tag] += 1
 
     def close(self, tags: set[str], stop: frozenset[str] | set[str]) -> None:
         """Drop the innermost open one of ``tags`` and what is open inside it, unless a ``stop`` element lies between."""
+        if not any(self.tags[t] for t in tags):
+            return
         for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in tags:
+            if self.open[i].tag in tags:
+                self.tags.subtract(x.tag for x in self.open[i:])
                 del self.open[i:]
                 return
-            if self.open[i][0] in stop:
+            if self.open[i].tag in stop:
                 return
 
     def end(self, tag: str) -> None:
@@ -97,10 +119,12 @@ def blocks(page: str | None) -> list[Block]:
     is not a tag is text, and open elements end where they must.
     """
     reader, at, page = _Reader(), 0, page or ""
+    last = page.rfind(">")
     while True:
-        tag = _TAG.search(page, at)
+        tag = _TAG.search(page, at) if at <= last else None
         if not tag:
-            reader.say(page[at:])
+            # no tag ends any more, but a comment runs to the end of the page
+            reader.say(page[at:].split("<!--", 1)[0])
             break
         reader.say(page[at : tag.start()])
         at = tag.end()

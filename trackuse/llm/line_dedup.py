@@ -13,7 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackuse.sources.staging import stage
+from trackuse.sources.staging import discard
+from trackuse.sources.staging import stage as staged_table
 
 SIMILARITY = Fraction(4, 5)
 SKETCH_BITS = 18
@@ -21,6 +22,11 @@ HASH_BITS = 56
 NEAREST = 4  # earlier rows of a word's group that a line is compared with at once
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """A staged table; the shuffle files behind it go at once, as they are many times the input."""
+    return staged_table(df, name, free_shuffles=True)
+
+
 def _split(line: Column) -> Column:
     """Lower-case words; there may be empty ones."""
     text = F.lower(line)
@@ -74,11 +80,8 @@ def _ceil(share: Fraction, n: Column) -> Column:
 
 
 def _key(id_col: str, text_col: str) -> Column:
-    """The id; a row without one is told from others by two hashes of its text. The key is never null."""
-    no_id = F.col(id_col).isNull()
-    return F.struct(
-        F.col(id_col).alias("id"), F.when(no_id, F.xxhash64(text_col)).alias("h1"), F.when(no_id, F.hash(text_col)).alias("h2")
-    )
+    """The id and two hashes of the text: rows that differ in either are told apart. The key is never null."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h1"), F.hash(text_col).alias("h2"))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -133,7 +136,7 @@ def _prefix_rows(classes: DataFrame) -> DataFrame:
 
 
 def _with_partner(classes: DataFrame, similarity: Fraction) -> DataFrame:
-    """The classes that share a prefix word with another one that may match.
+    """``doc, line`` of the classes that share a prefix word with another one that may match, staged.
 
     A semi join stops at the first partner, so a large group of copies gives no more
     rows than it has, and only what it leaves is looked at in pairs.
@@ -142,9 +145,7 @@ def _with_partner(classes: DataFrame, similarity: Fraction) -> DataFrame:
     x, y = _fields("x"), _fields("y")
     meets = (F.col("x.word") == F.col("y.word")) & ~_same_place(x, y) & _may_match(x, y, similarity)
     found = rows.alias("y").join(rows.alias("x"), meets, "left_semi").select("y.doc", "y.line").distinct()
-    found = stage(found, "line-partners")
-    same = classes["doc"].eqNullSafe(found["doc"]) & (classes["line"] == found["line"])
-    return classes.join(found, same, "left_semi")
+    return stage(found, "line-partners")
 
 
 def _grouped(classes: DataFrame, similarity: Fraction) -> DataFrame:
@@ -169,7 +170,7 @@ def _grouped(classes: DataFrame, similarity: Fraction) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: Fraction) -> DataFrame:
-    """The later line of every pair ``y, x`` whose words have the wanted Jaccard similarity."""
+    """The later line of every pair ``y, x`` whose words have the wanted Jaccard similarity, staged."""
     pairs = stage(pairs.distinct(), "line-pairs")
     ends = pairs.select(F.explode(F.array("y", "x")).alias("at"))
     needed = ends.select(F.col("at.doc").alias("doc"), F.col("at.line").alias("line")).distinct()
@@ -185,16 +186,22 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, sim
     )
     common = F.size(F.array_intersect("wx", "wy"))
     union = F.size("wx") + F.size("wy") - common
-    return both.where(common * similarity.denominator >= union * similarity.numerator).select("y").distinct()
+    found = stage(both.where(common * similarity.denominator >= union * similarity.numerator).select("y").distinct(), "line-matches")
+    for table in (pairs, needed, sets):
+        discard(table)
+    return found
 
 
 def first_lines(docs: DataFrame, id_col: str, text_col: str, similarity: Fraction) -> DataFrame:
     """``at``: the first places of the sets that are not similar to a set that comes earlier."""
     sketch = rarity_sketch(docs, text_col)
     classes = stage(line_classes(docs, id_col, text_col, sketch, similarity), "line-classes")
-    groups = stage(_grouped(_with_partner(classes, similarity), similarity), "line-groups")
+    partners = _with_partner(classes, similarity)
+    same = classes["doc"].eqNullSafe(partners["doc"]) & (classes["line"] == partners["line"])
+    groups = stage(_grouped(classes.join(partners, same, "left_semi"), similarity), "line-groups")
+    discard(partners)
     near = groups.select(F.col("at").alias("y"), F.explode("earlier").alias("x"))
-    matched = stage(_verified(near, docs, id_col, text_col, similarity), "line-matches")
+    matched = _verified(near, docs, id_col, text_col, similarity)
 
     # what the nearby rows did not settle meets all earlier rows of its larger groups
     large = groups.where(F.col("members") > NEAREST + 2)
@@ -203,6 +210,7 @@ def first_lines(docs: DataFrame, id_col: str, text_col: str, similarity: Fractio
     meets = (F.col("x.word") == F.col("y.word")) & (F.col("x.at") < F.col("y.at")) & _may_match(x, y, similarity)
     far = open_.alias("y").join(large.alias("x"), meets).select(F.col("y.at").alias("y"), F.col("x.at").alias("x"))
     matched = matched.unionByName(_verified(far, docs, id_col, text_col, similarity))
+    discard(groups)
     return classes.select(F.struct("doc", "line").alias("at")).join(matched.select(F.col("y").alias("at")), "at", "left_anti")
 
 
@@ -211,12 +219,12 @@ def without_repeated_lines(
 ) -> DataFrame:
     """``docs`` with the text of every row without the lines that are like an earlier line.
 
-    Lines are compared over all documents, in the order of id (null first, by hash of the text) and place. A
+    Lines are compared over all documents, in the order of id (null first), hash of the text, and place. A
     line goes if the words of some earlier line, kept or not, have at least the given
     Jaccard similarity with its own, each word counted once. Lines without words stay; so
-    does a null text. No row goes: a text whose lines all go becomes empty. Rows with
-    the same id share their decisions, without an id those with the same text, so that
-    repeated rows stay repeated.
+    does a null text. No row goes: a text whose lines all go becomes empty. Rows equal in id
+    and text share their decisions, so that repeated rows stay repeated; rows that
+    share an id but not the text are compared like any others.
     """
     kept = first_lines(docs, id_col, text_col, similarity)
     kept = stage(kept.groupBy(F.col("at.doc").alias("kept_doc")).agg(F.collect_list("at.line").alias("kept_lines")), "line-kept")

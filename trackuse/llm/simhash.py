@@ -199,12 +199,7 @@ def near_duplicate_components(
     fingerprints are combined before they are compared, so copies cost nothing.
     """
     rows = stage(docs.select(F.col(id_col).alias("doc_id"), simhash_of(text_col).alias("fp")), "simhash")
-    classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    labels = connected_components(fingerprint_links(classes.select("fp"), radius))
-    labelled = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("label", "fp").alias("label")
-    )
-    labelled = stage(labelled, "simhash-labels")
+    labelled = _labelled(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), radius)
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     ids = stage(labelled.join(least, "label").select("fp", "component_id"), "simhash-components")
     return rows.join(ids, "fp").select(
@@ -212,12 +207,35 @@ def near_duplicate_components(
     )
 
 
-def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, one for each component: the one with the component's smallest id.
+def _labelled(classes: DataFrame, radius: int) -> DataFrame:
+    """``fp, least`` of all distinct fingerprints, with the ``label`` of their component, staged."""
+    classes = stage(classes, "simhash-classes")
+    labels = connected_components(fingerprint_links(classes.select("fp"), radius))
+    labelled = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "least", F.coalesce("label", "fp").alias("label")
+    )
+    return stage(labelled, "simhash-labels")
+
+
+def keep_one_per_component(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS
+) -> DataFrame:
+    """The rows of ``docs``, one for each component: the one with the smallest id.
 
-    Of several rows with that id one stays, and all of them if the id is null.
+    A row without an id stays only if its component has no row with one. Of several rows
+    with that id, or without any, the one whose text has the smallest hash stays, and of rows
+    equal in id and text the one whose other columns come first.
     """
-    found = near_duplicate_components(docs, id_col, text_col)
-    kept = stage(found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct(), "simhash-kept")
-    whole = docs.join(kept, docs[id_col] == kept["kept_id"], "left_semi")
-    return whole.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    key = [F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h1"), F.hash(text_col).alias("h2")]
+    rows = stage(docs.select(F.struct(*key).alias("place"), simhash_of(text_col).alias("fp")), "simhash")
+    labelled = _labelled(rows.groupBy("fp").agg(F.min("place").alias("least")), radius)
+    first = labelled.groupBy("label").agg(F.min("least").alias("kept_place"))
+    kept = stage(first.select("kept_place"), "simhash-kept")
+    # a place is never null, and structs with null fields are equal to themselves
+    found = docs.join(kept, F.struct(*key) == kept["kept_place"], "left_semi")
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    whole = found.groupBy(*key, F.col(id_col).alias("_id")).agg(
+        F.first(text_col).alias("_text"), F.min(F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(0)).alias("_rest")
+    )
+    columns = {id_col: F.col("_id"), text_col: F.col("_text")} | {c: F.col("_rest")[c] for c in others}
+    return whole.select(*[columns[c].alias(c) for c in docs.columns])
