@@ -79,12 +79,12 @@ def test_empty_documents_go_through(spark, tables, tmp_path):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(queries())
     assert dc.WINDOW == 8 and float(ld.SIMILARITY) == 0.8
 
 
-@pytest.mark.parametrize("name", ["op1_fingerprints", "op5_decontamination", "op10_simhash", "op2_bpe"])
+@pytest.mark.parametrize("name", ["op1_fingerprints", "op5_decontamination", "op10_simhash", "op2_bpe", "op12_token_counts"])
 def test_queries_read_whole_tables(spark, tables, name):
     folder, texts = tables
     found = QUERIES[name](spark, folder)
