@@ -46,6 +46,42 @@ def test_joins_are_repaired_wherever_a_chunk_ends(name, monkeypatch):
         assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_a_cut_changes_ids_and_the_repair_puts_them_right(name, monkeypatch):
+    codec = bpe.Codec(public_tokenizers.path(name))
+    assert codec.drops or codec.leads
+    text = words(random.Random(13), 60)
+    middle = text.index(" ", 150) + 3  # inside a word
+    monkeypatch.setattr(bpe, "cuts", lambda t: [middle, len(t)])
+    apart = codec.whole(text[:middle]) + codec.whole(text[middle:])
+    assert apart != codec.whole(text) == codec.encode(text)
+
+
+def test_joins_grow_until_the_outer_words_agree(monkeypatch):
+    codec = bpe.Codec(vocabulary())
+    text = words(random.Random(14), 80)
+    monkeypatch.setattr(bpe, "cuts", lambda t: [250, len(t)])
+    right, asked = codec.batch, []
+
+    def wrong_at_first(texts):
+        asked.append(texts)
+        return [b"\xff" * 4 + ids for ids in right(texts)] if len(asked) == 2 else right(texts)
+
+    monkeypatch.setattr(codec, "batch", wrong_at_first)
+    assert codec.encode(text) == codec.whole(text)
+    joins = [t for t in asked if t and any(" " in x for x in t)]
+    assert len(joins) == 2 and len(joins[1][0]) > len(joins[0][0])
+
+
+def test_a_table_forgets_what_is_not_asked_for():
+    table = bpe.Generations(2)
+    for keys in ("ab", "ac", "ad", "ae", "af"):
+        new = table.missing(keys)
+        table.young.update((k, k) for k in new)
+        assert all(k in table.young for k in keys)
+    assert "b" not in table.young | table.old and len(table.young) + len(table.old) < 6
+
+
 def test_cuts_cover_the_text_and_follow_the_content():
     text = words(random.Random(12), 5_000)
     assert bpe.cuts(text)[-1] == len(text)
