@@ -100,6 +100,12 @@ def test_wrapped_texts_in_their_usual_layout(documents):
     assert set(found(documents(texts))) == set(enumerate(WRAPPED))
 
 
+def test_hints_go_over_line_breaks(documents):
+    assert set(found(documents(["Released\nunder the MIT.", "# Published\n# under MPL 2.0", "Available\r\n  under GPL v3"]))) == {
+        (0, "mit-line"), (1, "mpl2-short"), (2, "gpl-3.0-line")
+    }
+
+
 def test_every_sentence_has_a_hint_and_every_rule_its_sentences():
     import re
 

@@ -96,8 +96,8 @@ _LICENSES = {
     "spdx-cc-by-sa-4.0": "CC-BY-SA-4.0", "spdx-unlicense": "Unlicense",
 }
 ALL_RULES = RULES + [(i, x, [i]) for i, x in _LICENSES.items()]
-# every sentence has one of these
-HINTS = "licens|permission|warrant|redistribut|copyright|released under|available under|published under|distributed under|provided under|public domain|software"
+# every sentence has one of these, over line breaks too
+HINTS = "licens|permission|warrant|redistribut|copyright|(?:released|available|published|distributed|provided)[ \n]+under|public[ \n]+domain|software"
 
 
 def _patterns() -> list[tuple[str, str]]:
