@@ -23,7 +23,8 @@ LITERALS = 4
 SHARE = 0.5
 FILTER_BITS = 20
 KNOWN = 200_000  # words kept at a time in a worker
-TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
+# numbers, runs of letters, single letters of scripts without spaces, ends of sentences
+TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_\u3040-\u30ff\u3400-\u9fff]+|[\u3040-\u30ff\u3400-\u9fff]|[.!?\n]")
 # Words that are units after a number.
 UNITS = frozenset(
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams ton tons ounce ounces pound pounds ml l "
@@ -145,7 +146,7 @@ def _item_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             inside = [x[1:] for x in templates.read(f"a {text or ''}")]
             for hashes, slots, words in (templates.read(text), inside):
                 width = min(WINDOW, len(hashes))
-                if width < LITERALS:
+                if not width:
                     continue
                 total = len(hashes) - width + 1
                 for template, at, found in _hashed(hashes, slots, width):
@@ -166,6 +167,9 @@ def _document_rows(passing: np.ndarray, widths: list[int]):
                 for width in widths:
                     for template, at, found in _hashed(hashes, slots, width):
                         met = passing[found >> np.uint64(64 - FILTER_BITS)]
+                        if width < WINDOW and not template:  # items of one window: any place will do
+                            at, found = at[met], found[met]
+                            met = np.unique(found, return_index=True)[1]
                         for i, h in zip(at[met].tolist(), found[met].view(np.int64).tolist(), strict=True):
                             out.append((doc, i, h, _values(slots, words, i, width) if template else []))
             yield pd.DataFrame(out, columns=["doc_id", "pos", "hash", "slots"])
@@ -179,11 +183,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A document holds an item if at least ``share`` of the item's windows occur in it. A
     window with the item's own words always counts. One with changed slots counts if they
     agree with its run, the windows at the same distance: there every slot value of the item
-    stands for the value that most windows give it, and not for one that the run keeps from
-    another slot. Different values may become equal. Texts without words hold nothing and match
+    stands for the value that most windows give it. Different values may become equal, also equal
+    to one that stays. Texts without words hold nothing and match
     nothing, null texts and rows with a null id neither; rows with the same id count as
     one document, so do equal item ids. An item of fewer than eight words is one window,
-    and one of fewer than four is not looked for. Windows of the documents first pass a bit table
+    and one of fewer than four is looked for word for word only. In Chinese and Japanese
+    every letter is a word. Windows of the documents first pass a bit table
     of fixed size; with a very large benchmark it lets all pass, and the join decides.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -210,11 +215,7 @@ def _holding(docs: DataFrame, benchmark: DataFrame, share: float, id_type: str)
     votes = met.select(*run, F.explode(F.array_distinct("slots")).alias("slot")).groupBy(*run, "slot.a", "slot.b").count()
     # most windows, then the value itself
     best = votes.groupBy(*run, "a").agg(F.max(F.struct("count", F.expr("a = b").alias("same"), "b"))["b"].alias("b"))
-    chosen = best.groupBy(*run).agg(
-        F.collect_list(F.struct("a", "b")).alias("chosen"), F.collect_list(F.when(F.col("a") == F.col("b"), F.col("a"))).alias("unchanged")
-    )
-    free = F.filter("chosen", lambda s: (s["a"] == s["b"]) | ~F.array_contains("unchanged", s["b"]))
-    chosen = chosen.select(*run, free.alias("chosen"))
+    chosen = best.groupBy(*run).agg(F.collect_list(F.struct("a", "b")).alias("chosen"))
     same = F.forall("slots", lambda s: s["a"] == s["b"])
     agrees = F.size(F.array_except("slots", F.coalesce("chosen", F.array().cast(chosen.schema["chosen"].dataType)))) == 0
     runs = met.join(chosen, run, "left").where(same | agrees).groupBy(*run).agg(
