@@ -35,8 +35,8 @@ def _split(line: Column) -> Column:
     return F.split(text, " ")
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(_split(line)), "")
+def _blank(line: Column) -> Column:
+    return F.size(F.array_remove(F.array_distinct(_split(line)), "")) == 0
 
 
 def _hashes(line: Column) -> Column:
@@ -90,7 +90,11 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, id_col: str, text_col: str, sketch: bytes, similarity: Fraction) -> DataFrame:
-    """``doc, line, n, parity, prefix`` of every distinct set of words: its first place, size, parity bits and rarest words."""
+    """``number, doc, line, n, parity, prefix`` of every distinct set of words.
+
+    These are its first place, its size, parity bits and rarest words, and a number that
+    is unique but means nothing; it holds once the table is staged.
+    """
     lines = _lines(docs, id_col, text_col).select("doc", "line", _hashes(F.col("text")).alias("hashes"))
     sets = lines.where(F.size("hashes") > 0).select("doc", "line", _ordered(F.col("hashes"), sketch).alias("s"))
     n = F.size("s")
@@ -102,7 +106,7 @@ def line_classes(docs: DataFrame, id_col: str, text_col: str, sketch: bytes, sim
         F.xxhash64(F.lit(1), "s").alias("h2"),
         F.struct("doc", "line", n.alias("n"), parity.alias("parity"), prefix.alias("prefix")).alias("set"),
     )
-    return measured.groupBy("h1", "h2").agg(F.min("set").alias("set")).select("set.*")
+    return measured.groupBy("h1", "h2").agg(F.min("set").alias("set")).select(F.monotonically_increasing_id().alias("number"), "set.*")
 
 
 def _may_match(x: dict[str, Column], y: dict[str, Column], similarity: Fraction) -> Column:
@@ -116,45 +120,39 @@ def _may_match(x: dict[str, Column], y: dict[str, Column], similarity: Fraction)
     return length & position & parity
 
 
-FIELDS = ("doc", "line", "n", "i", "parity")
+FIELDS = ("number", "n", "i", "parity")
 
 
 def _fields(name: str) -> dict[str, Column]:
     return {f: F.col(f"{name}.{f}") for f in FIELDS}
 
 
-def _same_place(x: dict[str, Column], y: dict[str, Column]) -> Column:
-    return x["doc"].eqNullSafe(y["doc"]) & (x["line"] == y["line"])
-
-
-def _place(x: dict[str, Column]) -> Column:
-    return F.struct(x["doc"].alias("doc"), x["line"].alias("line"))
-
-
-def _prefix_rows(classes: DataFrame) -> DataFrame:
-    return classes.select("doc", "line", "n", "parity", F.posexplode("prefix").alias("i", "word"))
+def _prefix_rows(classes: DataFrame, *more: str) -> DataFrame:
+    return classes.select("number", "n", "parity", *more, F.posexplode("prefix").alias("i", "word"))
 
 
 def _with_partner(classes: DataFrame, similarity: Fraction) -> DataFrame:
-    """``doc, line`` of the classes that share a prefix word with another one that may match, staged.
+    """``number`` of the classes that share a prefix word with another one that may match, staged.
 
     A semi join stops at the first partner, so a large group of copies gives no more
-    rows than it has, and only what it leaves is looked at in pairs.
+    rows than it has, and only what it leaves is looked at in pairs. Its rows are all
+    prefix words of all classes, so they carry numbers and not places.
     """
     rows = _prefix_rows(classes)
     x, y = _fields("x"), _fields("y")
-    meets = (F.col("x.word") == F.col("y.word")) & ~_same_place(x, y) & _may_match(x, y, similarity)
-    found = rows.alias("y").join(rows.alias("x"), meets, "left_semi").select("y.doc", "y.line").distinct()
+    meets = (F.col("x.word") == F.col("y.word")) & (x["number"] != y["number"]) & _may_match(x, y, similarity)
+    found = rows.alias("y").join(rows.alias("x"), meets, "left_semi").select("y.number").distinct()
     return stage(found, "line-partners")
 
 
 def _grouped(classes: DataFrame, similarity: Fraction) -> DataFrame:
-    """Prefix words that several sets share, each with the nearby earlier sets of its group that may match."""
+    """Prefix words that several sets share, each with the numbers of nearby earlier sets of its group that may match."""
     group = "PARTITION BY word ORDER BY doc, line"
     packed = f"named_struct({', '.join(f"'{f}', {f}" for f in FIELDS)})"
     looked = [f"lag({packed}, {k}) OVER ({group})" for k in range(1, NEAREST + 1)]
-    rows = _prefix_rows(classes).select(
+    rows = _prefix_rows(classes, "doc", "line").select(
         "word",
+        F.struct("doc", "line").alias("at"),
         *FIELDS,
         F.expr("count(1) OVER (PARTITION BY word)").alias("members"),
         F.expr(f"array({', '.join(looked)}, first_value({packed}) OVER ({group}))").alias("earlier"),
@@ -163,33 +161,34 @@ def _grouped(classes: DataFrame, similarity: Fraction) -> DataFrame:
 
     def fits(e: Column) -> Column:
         other = {f: e[f] for f in FIELDS}
-        return e.isNotNull() & ~_same_place(other, own) & _may_match(other, own, similarity)
+        return e.isNotNull() & (other["number"] != own["number"]) & _may_match(other, own, similarity)
 
-    found = F.transform(F.filter("earlier", fits), lambda e: _place({f: e[f] for f in FIELDS}))
-    return rows.where("members > 1").withColumn("earlier", found).withColumn("at", _place(own))
+    found = F.transform(F.filter("earlier", fits), lambda e: e["number"])
+    return rows.where("members > 1").withColumn("earlier", found)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: Fraction) -> DataFrame:
-    """The later line of every pair ``y, x`` whose words have the wanted Jaccard similarity, staged."""
-    pairs = stage(pairs.distinct(), "line-pairs")
-    ends = pairs.select(F.explode(F.array("y", "x")).alias("at"))
-    needed = ends.select(F.col("at.doc").alias("doc"), F.col("at.line").alias("line")).distinct()
-    needed = stage(needed.groupBy("doc").agg(F.collect_list("line").alias("lines")), "line-ends")
+def _word_sets(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``number, hashes``: the hashes of all words of every class, staged."""
+    needed = stage(classes.groupBy("doc").agg(F.collect_list(F.struct("line", "number")).alias("wanted")), "line-ends")
     texts = docs.select(_key(id_col, text_col).alias("doc"), F.col(text_col).alias("text")).join(needed, "doc")
-    wanted = texts.select("doc", F.split("text", "\n").alias("all"), F.explode("lines").alias("line"))
-    sets = wanted.where(F.col("line") < F.size("all")).select(
-        F.struct("doc", "line").alias("at"), _words(F.expr("all[line]")).alias("words")
-    )
-    sets = stage(sets.distinct(), "line-sets")
-    both = pairs.join(sets.select(F.col("at").alias("y"), F.col("words").alias("wy")), "y").join(
-        sets.select(F.col("at").alias("x"), F.col("words").alias("wx")), "x"
+    lines = texts.select(F.split("text", "\n").alias("all"), F.inline("wanted")).where(F.col("line") < F.size("all"))
+    sets = lines.select("number", _hashes(F.expr("all[line]")).alias("hashes"))
+    found = stage(sets.dropDuplicates(["number"]), "line-sets")  # repeated rows have the same lines
+    discard(needed)
+    return found
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
+    """The later number of every pair ``y, x`` whose sets have the wanted Jaccard similarity, staged."""
+    both = (
+        pairs.distinct()
+        .join(sets.select(F.col("number").alias("y"), F.col("hashes").alias("wy")), "y")
+        .join(sets.select(F.col("number").alias("x"), F.col("hashes").alias("wx")), "x")
     )
     common = F.size(F.array_intersect("wx", "wy"))
     union = F.size("wx") + F.size("wy") - common
-    found = stage(both.where(common * similarity.denominator >= union * similarity.numerator).select("y").distinct(), "line-matches")
-    for table in (pairs, needed, sets):
-        discard(table)
-    return found
+    like = both.where(common * similarity.denominator >= union * similarity.numerator)
+    return stage(like.select(F.col("y").alias("number")).distinct(), "line-matches")
 
 
 def first_lines(docs: DataFrame, id_col: str, text_col: str, similarity: Fraction) -> DataFrame:
@@ -197,21 +196,23 @@ def first_lines(docs: DataFrame, id_col: str, text_col: str, similarity: Fractio
     sketch = rarity_sketch(docs, text_col)
     classes = stage(line_classes(docs, id_col, text_col, sketch, similarity), "line-classes")
     partners = _with_partner(classes, similarity)
-    same = classes["doc"].eqNullSafe(partners["doc"]) & (classes["line"] == partners["line"])
-    groups = stage(_grouped(classes.join(partners, same, "left_semi"), similarity), "line-groups")
+    partnered = classes.join(partners, "number", "left_semi")
+    sets = _word_sets(partnered, docs, id_col, text_col)
+    groups = stage(_grouped(partnered, similarity), "line-groups")
     discard(partners)
-    near = groups.select(F.col("at").alias("y"), F.explode("earlier").alias("x"))
-    matched = _verified(near, docs, id_col, text_col, similarity)
+    near = groups.select(F.col("number").alias("y"), F.explode("earlier").alias("x"))
+    matched = _verified(near, sets, similarity)
 
     # what the nearby rows did not settle meets all earlier rows of its larger groups
-    large = groups.where(F.col("members") > NEAREST + 2)
-    open_ = large.join(matched.select(F.col("y").alias("at")), "at", "left_anti")
+    large = groups.where(F.col("members") > NEAREST + 2).drop("members", "earlier")
+    open_ = large.join(matched, "number", "left_anti")
     x, y = _fields("x"), _fields("y")
     meets = (F.col("x.word") == F.col("y.word")) & (F.col("x.at") < F.col("y.at")) & _may_match(x, y, similarity)
-    far = open_.alias("y").join(large.alias("x"), meets).select(F.col("y.at").alias("y"), F.col("x.at").alias("x"))
-    matched = matched.unionByName(_verified(far, docs, id_col, text_col, similarity))
+    far = open_.alias("y").join(large.alias("x"), meets).select(F.col("y.number").alias("y"), F.col("x.number").alias("x"))
+    matched = matched.unionByName(_verified(far, sets, similarity))
     discard(groups)
-    return classes.select(F.struct("doc", "line").alias("at")).join(matched.select(F.col("y").alias("at")), "at", "left_anti")
+    discard(sets)
+    return classes.join(matched, "number", "left_anti").select(F.struct("doc", "line").alias("at"))
 
 
 def without_repeated_lines(
@@ -224,12 +225,12 @@ def without_repeated_lines(
     Jaccard similarity with its own, each word counted once. Lines without words stay; so
     does a null text. No row goes: a text whose lines all go becomes empty. Rows equal in id
     and text share their decisions, so that repeated rows stay repeated; rows that
-    share an id but not the text are compared like any others.
+    share an id but not the text are compared like any others. Words count as equal if
+    their 64-bit hashes are.
     """
     kept = first_lines(docs, id_col, text_col, similarity)
     kept = stage(kept.groupBy(F.col("at.doc").alias("kept_doc")).agg(F.collect_list("at.line").alias("kept_lines")), "line-kept")
     joined = docs.join(kept, _key(id_col, text_col) == kept["kept_doc"], "left")
-    blank = lambda line: F.size(_words(line)) == 0
-    stays = lambda line, i: F.array_contains(F.coalesce(kept["kept_lines"], F.array().cast("array<int>")), i) | blank(line)
+    stays = lambda line, i: F.array_contains(F.coalesce(kept["kept_lines"], F.array().cast("array<int>")), i) | _blank(line)
     text = F.array_join(F.filter(F.split(docs[text_col], "\n"), stays), "\n")
     return joined.select(*[(text.alias(c) if c == text_col else docs[c]) for c in docs.columns])
