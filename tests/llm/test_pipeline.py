@@ -91,7 +91,7 @@ def test_queries_read_whole_tables(spark, tables, name):
     assert found.count() == (1 if name.startswith("op5") else len(texts))
 
 
-@pytest.mark.parametrize("name", ["op4_chat", "op6_licenses"])
+@pytest.mark.parametrize("name", ["op4_chat", "op6_licenses", "op9_line_dedup"])
 def test_queries_match_their_sql(spark, name, monkeypatch):
     from checks import compare
     from trackuse.llm.queries import ORACLES

@@ -234,3 +234,28 @@ def without_repeated_lines(
     stays = lambda line, i: F.array_contains(F.coalesce(kept["kept_lines"], F.array().cast("array<int>")), i) | _blank(line)
     text = F.array_join(F.filter(F.split(docs[text_col], "\n"), stays), "\n")
     return joined.select(*[(text.alias(c) if c == text_col else docs[c]) for c in docs.columns])
+
+
+# The same in SQL, if no two texts share an id: there the order of texts within an id is another one.
+SQL = r"""
+WITH texts AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS row, doc_id, text
+               FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+split AS (SELECT row, string_split(text, chr(10)) AS p FROM texts),
+numbered AS (SELECT row, unnest(p) AS line, generate_subscripts(p, 1) AS k FROM split),
+lines AS (SELECT row, k, line, row_number() OVER (ORDER BY row, k) AS place,
+  list_sort(list_distinct(list_filter(string_split_regex(lower(line), '[ \t\r\v\f]+'), lambda w: w <> ''))) AS words FROM numbered),
+classes AS (SELECT words, len(words) AS n, min(place) AS place FROM lines WHERE len(words) > 0 GROUP BY words),
+tokens AS (SELECT place, n, unnest(words) AS word FROM classes),
+counts AS (SELECT word, count(*) AS times FROM tokens GROUP BY word),
+ordered AS (SELECT place, n, word, row_number() OVER (PARTITION BY place ORDER BY times, word) AS i FROM tokens JOIN counts USING (word)),
+prefixes AS (SELECT place, n, word FROM ordered WHERE i <= n - (4 * n + 4) // 5 + 1),
+pairs AS (SELECT DISTINCT x.place AS x, y.place AS y FROM prefixes x JOIN prefixes y ON x.word = y.word AND x.place < y.place
+          AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n),
+common AS (SELECT y, a.n + b.n AS total, len(list_intersect(a.words, b.words)) AS shared
+           FROM pairs JOIN classes a ON a.place = x JOIN classes b ON b.place = y),
+matched AS (SELECT DISTINCT y AS place FROM common WHERE 5 * shared >= 4 * (total - shared)),
+firsts AS (SELECT place FROM classes WHERE place NOT IN (SELECT place FROM matched)),
+kept AS (SELECT row, string_agg(line, chr(10) ORDER BY k) AS text FROM lines
+         WHERE len(words) = 0 OR place IN (SELECT place FROM firsts) GROUP BY row)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text
+FROM documents d LEFT JOIN texts t ON d.doc_id IS NOT DISTINCT FROM t.doc_id AND d.text = t.text LEFT JOIN kept USING (row)"""

@@ -96,7 +96,7 @@ def op8_html(spark, sf):
     return texts.withColumn("n_chars", F.length("text").cast("long"))
 
 
-@query()
+@query(line_dedup.SQL)
 def op9_line_dedup(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return line_dedup.without_repeated_lines(docs)
