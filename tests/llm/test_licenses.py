@@ -111,3 +111,26 @@ def test_every_sentence_has_a_hint_and_every_rule_its_sentences():
 
     assert all(re.search(li.HINTS, s) for _, s in li.SENTENCES + li.MORE_SENTENCES)
     assert {s for _, _, r in li.ALL_RULES for s in r} <= {i for i, _ in li.SENTENCES + li.MORE_SENTENCES}
+
+
+def test_wordings_come_to_one_sentence(documents):
+    wordings = [f"{a}{b} under {c}the {x}{d}" for a in ("", "This library is ") for b in ("licensed", "Published")
+                for c in ("", "terms of ") for x in ("MIT", "BSD 3-Clause") for d in ("", " license", " License. See LICENSE.txt")]
+    rules = ["mit-line" if "MIT" in w else "bsd3-short" for w in wordings]
+    assert {k: v[1] for k, v in found(documents(wordings)).items()} == {(i, r): 1 for i, r in enumerate(rules)}
+    names = ["This library", "GNU Emacs", "Foo"]
+    grants = [f"{n} is free software: {sentence('gpl-free').partition('software ')[2]}" for n in names]
+    assert set(found(documents(grants))) == {(i, "gpl-3.0-grant") for i in range(3)}
+
+
+def test_runs_of_pieces_up_to_one_word_a_line(documents):
+    grant, as_is = sentence("mit-grant"), sentence("as-is")
+    texts = ["\n".join((grant + "\n\n" + as_is).split()), f"# {grant}\n#\n# and\n{as_is}", f"not {grant}", f"{grant} more", "Released\nunder\n\nnothing\nReleased\nunder\nMIT", "." * 200_000 + " MIT license"]
+    assert found(documents(texts)) == {(0, "mit-text"): ("MIT", 1, 2), (1, "mit-text"): ("MIT", 1, 2), (4, "mit-line"): ("MIT", 1, 1)}
+
+
+def test_the_longest_sentence_counts_and_none_inside_it(spark, documents):
+    use = sentence("apache2-use")
+    short = sentence("apache2-short")
+    texts = [use.replace(short, short + "\n"), f"{short}\n{short}\n" * 500]
+    assert found(documents(texts)) == {(0, "apache-2.0-use"): ("Apache-2.0", 1, 1), (1, "apache-2.0-line"): ("Apache-2.0", 1_000, 1_000)}

@@ -51,36 +51,44 @@ RULES = [
 ]
 
 
-# More of both, which the SQL does not have; here a sentence is a pattern, and a space is any white space.
-_SUBJECT = "(?:this (?:project|work|software|program|library|package|code|file|repository) is )?"
-_UNDER = "(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?"
+# More of both, which the SQL does not have; a sentence is as ``canonical`` leaves it.
+_SUBJECTS = "this (?:project|work|software|program|library|package|code|file|repository) is "
+_VERBS = "(?:licensed|released|distributed|available|published|provided) under "
+_SEE = " see (?:the )?license(?: file)?(?:[ .](?:md|txt))?(?: for (?:more )?(?:details|information))?"
 _NAMES = [
-    ("apache2-short", "apache (?:license )?(?:version )?2[.]0"),
-    ("mit-short", "mit"),
-    ("gpl3-short", "(?:gnu general public license|gnu gpl|gpl) (?:version )?v?3(?:[.]0)?"),
-    ("gpl2-short", "(?:gnu general public license|gnu gpl|gpl) (?:version )?v?2(?:[.]0)?"),
-    ("lgpl3-short", "(?:gnu lesser general public license|gnu lgpl|lgpl) (?:version )?v?3(?:[.]0)?"),
-    ("lgpl21-short", "(?:gnu lesser general public license|gnu lgpl|lgpl) (?:version )?v?2[.]1"),
-    ("agpl3-short", "(?:gnu affero general public license|gnu agpl|agpl) (?:version )?v?3(?:[.]0)?"),
-    ("mpl2-short", "(?:mozilla public license|mpl) (?:version )?v?2[.]0"),
-    ("bsd2-short", "(?:bsd 2 clause|2 clause bsd|simplified bsd)"),
-    ("bsd3-short", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)"),
-    ("isc-short", "isc"),
-    ("cc-by4", "(?:cc by|creative commons attribution) 4[.]0(?: international)?"),
-    ("cc-by-sa4", "(?:cc by sa|creative commons attribution sharealike) 4[.]0(?: international)?"),
-    ("cc-by-nc4", "(?:cc by nc|creative commons attribution noncommercial) 4[.]0(?: international)?"),
-    ("cc0-short", "cc0(?: 1[.]0)?(?: universal)?"),
+    ("apache2-short", ["apache", "apache license"], ["2.0", "version 2.0"]),
+    ("mit-short", ["mit"], [""]),
+    ("gpl3-short", ["gnu general public license", "gnu gpl", "gpl"], ["3", "3.0", "v3", "v3.0"]),
+    ("gpl2-short", ["gnu general public license", "gnu gpl", "gpl"], ["2", "2.0", "v2", "v2.0"]),
+    ("lgpl3-short", ["gnu lesser general public license", "gnu lgpl", "lgpl"], ["3", "3.0", "v3", "v3.0"]),
+    ("lgpl21-short", ["gnu lesser general public license", "gnu lgpl", "lgpl"], ["2.1", "v2.1"]),
+    ("agpl3-short", ["gnu affero general public license", "gnu agpl", "agpl"], ["3", "3.0", "v3", "v3.0"]),
+    ("mpl2-short", ["mozilla public license", "mpl"], ["2.0", "v2.0"]),
+    ("bsd2-short", ["bsd 2 clause", "2 clause bsd", "simplified bsd"], [""]),
+    ("bsd3-short", ["bsd 3 clause", "3 clause bsd", "new bsd", "modified bsd"], [""]),
+    ("isc-short", ["isc"], [""]),
+    ("cc-by4", ["cc by", "creative commons attribution"], ["4.0", "4.0 international"]),
+    ("cc-by-sa4", ["cc by sa", "creative commons attribution sharealike"], ["4.0", "4.0 international"]),
+    ("cc-by-nc4", ["cc by nc", "creative commons attribution noncommercial"], ["4.0", "4.0 international"]),
+    ("cc0-short", ["cc0", "cc0 1.0"], ["", "universal"]),
 ]
-_GRANT = "(?:this (?:program|library|file) is free software|[a-z0-9]+ is free software) you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation either version {} of the license or at your option any later version"
-MORE_SENTENCES = [(i, f"{_SUBJECT}{_UNDER}{x}(?: license)?(?: see (?:the )?license(?: file)?(?:[ .](?:md|txt))?(?: for (?:more )?(?:details|information))?)?") for i, x in _NAMES] + [
+_GRANT = "this program is free software you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation either version {} of the license or at your option any later version"
+MORE_SENTENCES = [
+    (i, f"licensed under {x} {version}{v}".strip())
+    for i, names, versions in _NAMES
+    for x in names
+    for v in versions
+    for version in (["", "version "] if i.startswith(("gpl", "lgpl", "agpl", "mpl")) else [""])
+] + [
+    ("gpl-free", _GRANT.format("general public license", "3")),
     ("gpl2-free", _GRANT.format("general public license", "2")),
     ("lgpl3-free", _GRANT.format("lesser general public license", "3")),
-    ("lgpl21-free", _GRANT.format("lesser general public license", "2[.]1")),
+    ("lgpl21-free", _GRANT.format("lesser general public license", "2.1")),
     ("agpl3-free", _GRANT.format("affero general public license", "3")),
-    ("mpl2-text", "this source code form is subject to the terms of the mozilla public license v 2[.]0"),
+    ("mpl2-text", "this source code form is subject to the terms of the mozilla public license v 2.0"),
     ("isc-grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("unlicense-text", "this is free and unencumbered software released into the public domain"),
-    *[(f"spdx-{x.lower()}", "spdx license identifier " + x.lower().replace("-", " ").replace(".", "[.]")) for x in (
+    *[(f"spdx-{x.lower()}", "spdx license identifier " + x.lower().replace("-", " ")) for x in (
         "Apache-2.0", "MIT", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-2.0-only", "GPL-2.0-or-later", "LGPL-3.0-or-later", "LGPL-2.1-or-later",
         "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "Unlicense")],
 ]
@@ -96,16 +104,17 @@ _LICENSES = {
     "spdx-cc-by-sa-4.0": "CC-BY-SA-4.0", "spdx-unlicense": "Unlicense",
 }
 ALL_RULES = RULES + [(i, x, [i]) for i, x in _LICENSES.items()]
-# every sentence has one of these, over line breaks too
-HINTS = "licens|permission|warrant|redistribut|copyright|(?:released|available|published|distributed|provided)[ \n]+under|public[ \n]+domain|software"
+# every sentence has one of these, whatever signs and line breaks stand between its words
+_GAP = "[^a-z0-9]+(?:(?:rem|dnl)[^a-z0-9]+)*"
+HINTS = f"licens|permission|warrant|redistribut|copyright|(?:released|available|published|distributed|provided){_GAP}under|public{_GAP}domain|software"
 
 
-def _patterns() -> list[tuple[str, str]]:
-    """Sentence identifiers with a pattern each, longer sentences first."""
-    fixed = sorted(SENTENCES, key=lambda s: -len(s[1]))
-    found = [(i, s.replace(".", "[.]")) for i, s in fixed] + sorted(MORE_SENTENCES, key=lambda s: -len(s[1]))
-    # a bracket that holds a space is a choice of signs already
-    return [(i, "(?<=\n)" + s.replace("[ .]", "[\n .]").replace(" ", "[ \n]+").replace("[\n[ \n]+.]", "[ \n.]") + "(?=\n)") for i, s in found]
+# what a sentence may begin with, and how long one may be
+_STARTS = f"^(?:(?:{_SUBJECTS})?{_VERBS}|[a-z0-9]+(?: [a-z0-9]+)? is free software |" + "|".join(
+    sorted({" ".join(x.replace(".", "[.]").split()[:3]) for _, x in SENTENCES + MORE_SENTENCES})
+) + ")"
+MAX_WORDS = max(len(x.split()) for _, x in SENTENCES + MORE_SENTENCES) + 24  # room for what ``canonical`` takes away
+MAX_CHARS = max(len(x) for _, x in SENTENCES + MORE_SENTENCES) + 160
 
 
 def _sequence(sentences: list[str]) -> str:
@@ -118,22 +127,61 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(plain, "[ .]+$", ""))
 
 
+def canonical(sentence: Column) -> Column:
+    """A normalised sentence in the one form that the map of sentences has of its wordings."""
+    short = F.regexp_replace(sentence, f"^(?:{_SUBJECTS})?{_VERBS}(?:the )?(?:terms of (?:the )?)?", "licensed under ")
+    short = F.when(F.startswith(short, F.lit("licensed under ")), F.regexp_replace(short, f"(?: license)?(?:{_SEE})?$", "")).otherwise(short)
+    return F.regexp_replace(short, "^[a-z0-9]+(?: [a-z0-9]+)? is free software you can ", "this program is free software you can ")
+
+
+def sentence_id(sentence: Column) -> Column:
+    """The identifier of a normalised sentence, null if it isn't known: looked up as it is, then in its canonical form."""
+    known = dict((x, i) for i, x in MORE_SENTENCES + SENTENCES)
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, sentence), F.try_element_at(table, canonical(sentence)))
+
+
+def _runs(pieces: Column, at: Column) -> Column:
+    """``at``, and the pieces from there on as far as a known sentence could go."""
+    near = F.transform(F.slice(pieces, at + 1, F.lit(MAX_WORDS)), lambda x: F.left(x, F.lit(MAX_CHARS)))
+    return F.struct(at.alias("at"), F.left(F.array_join(near, "\n"), F.lit(MAX_CHARS)).alias("ahead"))
+
+
+def _longest(start: Column) -> Column:
+    """``at, n, id``: the longest run of pieces that is a known sentence; n and id are null if there is none."""
+    lines = F.sequence(F.lit(1), F.size(F.split(start["ahead"], "\n")))
+    run = lambda n: F.replace(F.call_function("substring_index", start["ahead"], F.lit("\n"), n), F.lit("\n"), F.lit(" "))
+    known = F.transform(lines, lambda n: F.struct(n.alias("n"), sentence_id(run(n)).alias("id")))
+    best = F.try_element_at(F.filter(known, lambda r: r["id"].isNotNull()), F.lit(-1))
+    return F.struct(start["at"].alias("at"), best["n"].alias("n"), best["id"].alias("id"))
+
+
 def known_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, place, sentence_id`` of every known sentence.
 
-    A sentence starts at a line or after . ! ? and white space, ends before the next such
-    place, and may go over several lines, blank ones and comment signs between them.
+    A text is cut into pieces at line ends and after . ! ? and white space, blank ones
+    and comment signs left out. A sentence is one piece or several in a row, joined by
+    spaces; runs that begin like a known sentence are looked up in the map of
+    sentences, up to the length of its longest one. Of runs with one start the longest counts, and a
+    sentence into which an earlier one reaches does not.
     """
     text = F.lower(F.regexp_replace(text_col, "([.!?])[ \t\r\n]+", "$1\n"))
     text = F.regexp_replace(text, "(?m)^[ \t]*(?:rem|dnl) ", "")
-    text = F.concat(F.lit("\n"), F.regexp_replace(text, "[^a-z0-9.\n]+", " "), F.lit("\n"))
-    text = F.regexp_replace(F.regexp_replace(text, "[ .]+(?=\n)", ""), "(?<=\n) +", "")
-    found = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).where(F.col("text").rlike(HINTS))
-    for name, pattern in _patterns():
-        found = found.withColumn("text", F.regexp_replace("text", pattern, f"<{name}>"))
-    sentences = found.where(F.contains("text", F.lit("<"))).select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "sentence"))
-    sentences = sentences.where(F.startswith("sentence", F.lit("<")))
-    return sentences.select("doc_id", (F.col("place") - 1).alias("place"), F.regexp_replace("sentence", "[<>]", "").alias("sentence_id"))
+    text = F.regexp_replace(F.concat(text, F.lit("\n")), "[^a-z0-9.\n]+", " ")
+    text = F.regexp_replace(F.regexp_replace(text, "(?<![ .])[ .]++(?=\n)", ""), "(?<=\n) +", "")
+    found = docs.where(F.lower(text_col).rlike(HINTS)).select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    pieces = found.select("doc_id", F.array_remove(F.split(F.ltrim("text"), "\n"), "").alias("pieces"))
+    begins = lambda at: F.left(F.array_join(F.slice("pieces", at + 1, F.lit(5)), " "), F.lit(100)).rlike(_STARTS)
+    places = F.filter(F.transform("pieces", lambda _, at: at), begins)
+    starts = pieces.select("doc_id", F.transform(places, lambda at: _runs(F.col("pieces"), at)).alias("starts"))
+    known = starts.select("doc_id", F.filter(F.transform("starts", _longest), lambda m: m["id"].isNotNull()).alias("known"))
+
+    def free(m: Column, i: Column) -> Column:
+        before = F.slice("known", F.greatest(i + 1 - MAX_WORDS, F.lit(1)), F.least(i, F.lit(MAX_WORDS)))
+        return ~F.exists(before, lambda e: e["at"] + e["n"] > m["at"])
+
+    sentences = known.select("doc_id", F.inline(F.filter("known", free)))
+    return sentences.select("doc_id", F.col("at").alias("place"), F.col("id").alias("sentence_id"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,13 +197,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "sentence_id"))), lambda s: F.concat(F.lit("<"), s["sentence_id"], F.lit(">"))), "").alias("rest"),
         F.count("*").alias("sentences"),
     )
-    for i, (_, _, sentences) in enumerate(ALL_RULES):
-        sequence = _sequence(sentences)
-        after = F.replace("rest", F.lit(sequence), F.lit("#"))
-        times = (F.length("rest") - F.length(after)) / (len(sequence) - 1)
-        rest = rest.withColumn(f"n{i}", times.cast("long")).withColumn("rest", after)
-    met = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(x).alias("license"), F.col(f"n{i}").alias("occurrences")) for i, (r, x, _) in enumerate(ALL_RULES)])
-    return rest.select("doc_id", "sentences", F.inline(met)).where("occurrences > 0").select("doc_id", "rule_id", "license", "occurrences", "sentences")
+    rules = {}
+    for rule, license_, sentences in ALL_RULES:
+        if len(sentences) > 1:
+            rest = rest.withColumn("rest", F.replace("rest", F.lit(_sequence(sentences)), F.lit(f"<={rule}>")))
+        rules[f"={rule}" if len(sentences) > 1 else sentences[0]] = F.struct(F.lit(rule).alias("rule_id"), F.lit(license_).alias("license"))
+    table = F.create_map(*[x for name, rule in rules.items() for x in (F.lit(name), rule)])
+    names = F.regexp_extract_all("rest", F.lit("<([^>]*)>"), F.lit(1))
+    met = F.filter(F.transform(names, lambda n: F.try_element_at(table, n)), lambda r: r.isNotNull())
+    times = rest.select("doc_id", "sentences", F.inline(met)).groupBy("doc_id", "sentences", "rule_id", "license").agg(F.count("*").alias("occurrences"))
+    return times.select("doc_id", "rule_id", "license", "occurrences", "sentences")
 
 
 def oracle_sql() -> str:
