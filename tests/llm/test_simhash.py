@@ -116,3 +116,39 @@ def test_one_row_of_a_component_stays_whatever_the_ids(spark):
     assert found == sorted([(None, a, "x"), (7, b, "x"), (7, c, "y"), (3, None, "x")], key=repr)
     assert sh.keep_one_per_component(docs.limit(0)).count() == 0
     assert sh.keep_one_per_component(docs.select("doc_id", "text")).count() == 4
+
+
+def test_large_groups_are_split_without_losing_links(spark):
+    rng = random.Random(10)
+    values = set()
+    for _ in range(3):  # dense groups: neighbours of a few centres, chains of them, and one far away
+        x = rng.getrandbits(64)
+        for _ in range(120):
+            values.add(x)
+            x = x ^ (1 << rng.randrange(20)) ^ (1 << rng.randrange(20)) if rng.random() < 0.9 else x ^ (7 << rng.randrange(60))
+    values = sorted(values)
+    groups = {v: v for v in values}
+
+    def root(v):
+        while groups[v] != v:
+            v = groups[v]
+        return v
+
+    for i, v in enumerate(values):
+        for w in values[:i]:
+            if (v ^ w).bit_count() <= 2:
+                groups[root(v)] = root(w)
+    expected = {}
+    for v in values:
+        expected.setdefault(root(v), set()).add(sh._signed(v))
+    rows = spark.createDataFrame([(sh._signed(v),) for v in values], "fp long")
+    keyed = rows.select(sh.F.lit(5).cast("long").alias("key"), "fp")
+    sizes = [r["count"] for r in sh._split(keyed, 50).groupBy("key").count().collect()]
+    blocks = -(-len(values) // 50)
+    assert len(sizes) == blocks * (blocks - 1) // 2 and sum(sizes) == len(values) * (blocks - 1)
+    for largest in (1, 20, 4_096):
+        labels = connected_components(sh.fingerprint_links(rows, 2, largest)).collect()
+        parts = {}
+        for r in labels:
+            parts.setdefault(r.label, set()).add(r.node)
+        assert sorted(map(sorted, parts.values())) == sorted(sorted(p) for p in expected.values() if len(p) > 1)

@@ -174,18 +174,30 @@ def _links_of(parts: list[tuple[np.ndarray, np.ndarray]], radius: int) -> pd.Dat
     return pd.DataFrame([(_signed(x), _signed(y)) for x, y in links], columns=["src", "dst"], dtype="int64")
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _split(keyed: DataFrame, largest: int) -> DataFrame:
+    """``key, fp`` with groups of more than ``largest`` rows dealt to blocks, each block with every other one as a group."""
+    blocks = F.ceil(F.col("count") / largest).cast("int")
+    large = stage(keyed.groupBy("key").count().where(F.col("count") > largest).select("key", blocks.alias("blocks")), "simhash-large")
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != own)
+    group = lambda b: F.xxhash64("key", F.least(own, b), F.greatest(own, b))
+    groups = F.when(F.col("blocks").isNull(), F.array("key")).otherwise(F.transform(others, group))
+    return keyed.join(large, "key", "left").select(F.explode(groups).alias("key"), "fp")
+
+
+def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, largest: int = BLOCK) -> DataFrame:
     """``src, dst``: links that connect all of the distinct ``fp`` within the radius of each other.
 
     Every fingerprint is sent once per mask. A key holds more than half of its bits,
     so a group has only fingerprints that are near anyway; a dense one is compared in
-    bit-sliced form and gives fewer links than it has members.
+    bit-sliced form and gives fewer links than it has members. A group of more than
+    ``largest`` members is split, and its blocks meet two at a time in tasks of their own.
     """
     masks = F.array([F.struct(F.lit(i).alias("m"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(_masks(radius))])
     keyed = distinct.select("fp", F.explode(masks).alias("k")).select(
         F.xxhash64("k.m", F.col("fp").bitwiseAND(F.col("k.mask"))).alias("key"), "fp"
     )
-    return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_linker(radius), _LINK)
+    return _split(keyed, largest).repartition("key").sortWithinPartitions("key").mapInPandas(_linker(radius), _LINK)
 
 
 def near_duplicate_components(
