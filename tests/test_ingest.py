@@ -115,3 +115,27 @@ def test_fixes_are_computed_once(spark, monkeypatch):
     got = clean_import(text, deps)
     reads = [df._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 60") for df in [*plans, got]]
     assert sum(reads) == 1 and "empty" not in got.columns and "deploy_on_timestamp" in got.columns
+
+
+def test_many_pairs_of_one_key_are_split(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "PAIRS_PER_PIECE", 100, raising=False)
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    kept = {n: spark.conf.get(n) for n in names}
+    fix_rows = [("s", None, i) for i in range(300)] + [("s", "a", 300), (None, "a", 301), (None, None, 302), ("s", "z", 303)] + [("s", None, 7)] * 2
+    dep_rows = [("s", None, 100 + i) for i in range(5)] + [("s", "a", 1), ("s", "a", 2), (None, "a", 3)]
+    fixes = spark.createDataFrame(fix_rows, "study_name string, individual_local_identifier string, v int")
+    deps = spark.createDataFrame(dep_rows, "study_name string, individual_local_identifier string, v int")
+    want = []
+    for f in fix_rows:
+        want += [(*f, d[2]) for d in dep_rows if d[:2] == f[:2]] or [(*f, None)]
+    for n, v in zip(names, ("false", "-1")):
+        spark.conf.set(n, v)
+    try:
+        out = join_deployments(fixes, deps)
+        assert out.columns == ["study_name", "individual_local_identifier", "v", "v_dep"]
+        assert sorted(rows(out), key=repr) == sorted(want, key=repr)
+        unnamed = out.where("study_name = 's' and individual_local_identifier is null")
+        assert unnamed.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        for n, v in kept.items():
+            spark.conf.set(n, v)
