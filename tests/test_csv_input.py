@@ -7,6 +7,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import Observation
 
+from trackuse.sources import records
 from trackuse.sources.records import csv_records
 from trackuse.sources.tables import _first_lines, read_locations, read_studies
 
@@ -99,3 +100,15 @@ def test_values_that_are_no_numbers_are_counted(spark, tmp_path, multi_line):
     again = Observation()
     read_studies(spark, {"s": str(tmp_path / "in.csv")}, problems=again).count()
     assert again.get["X"] == 2
+
+
+def test_only_records_over_block_ends_are_staged(spark, tmp_path, small_blocks, monkeypatch):
+    staged, plain = {}, records.stage
+    monkeypatch.setattr(records, "stage", lambda df, name: staged.setdefault(name, plain(df, name)))
+    rng = random.Random(5)
+    written(tmp_path / "t.csv", [record(rng, i, 'two\n"lines"') for i in range(1_000)])
+    found = csv_records(spark, [str(tmp_path / "t.csv")])
+    assert found.count() == 1_000 and found.distinct().count() == 1_000
+    blocks = staged["csv-blocks"].count()
+    assert 20 < blocks and staged["csv-pieces"].count() <= 2 * blocks
+    assert found.where("record like '%two\n%lines%'").count() == 1_000
