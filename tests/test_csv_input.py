@@ -112,3 +112,21 @@ def test_only_records_over_block_ends_are_staged(spark, tmp_path, small_blocks,
     blocks = staged["csv-blocks"].count()
     assert 20 < blocks and staged["csv-pieces"].count() <= 2 * blocks
     assert found.where("record like '%two\n%lines%'").count() == 1_000
+
+
+def test_rows_meet_their_study_without_a_shuffle(spark, tmp_path):
+    rng = random.Random(6)
+    paths = {}
+    for k, header in enumerate((HEADER, HEADER[::-1])):
+        data = [[r[HEADER.index(n)] for n in header] for r in (record(rng, i, "t" * 200) for i in range(500))]
+        written(tmp_path / f"{k}.csv", data, header=header)
+        paths[f"study {k}"] = str(tmp_path / f"{k}.csv")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "40000")  # less than the files have
+    try:
+        back = read_studies(spark, paths)
+        plan = back._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+        assert sorted(rows(back.groupBy("study_name").count())) == [("study 0", 500), ("study 1", 500)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)

@@ -39,34 +39,32 @@ def require_columns(df: DataFrame, cols: Iterable[str] = REQUIRED_COLUMNS) -> Da
     return df
 
 
+AHEAD = 1 << 10  # lines read between two looks whether a task may end
+
+
 def _first_lines(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    """``file, header``: the first line of every file that has one.
+    """``file, header``: the first line of every file that has one, staged.
 
-    A session of its own gives every file a task of its own, which ends with the first line
-    and never sees the others. How far Spark reads ahead until then is not bounded.
+    A session of its own gives every file a task of its own, which ends with the first line.
+    Until Python has answered Spark reads ahead; of what it reads only one line in ``AHEAD`` goes
+    on, emptied, so that the task soon sees the answer.
     """
     own = spark.newSession()
     whole = str(1 << 60)
-    settings = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
-    for name in settings:
+    for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
         own.conf.set(name, whole)
+    own.conf.set("spark.sql.files.maxPartitionNum", (1 << 31) - 1)
     own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
-    alone = all(own.conf.get(name) == whole for name in settings)
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
         for batch in batches:
-            file = batch.column("file")[0].as_py()
-            if batch.column("start")[0].as_py() == 0 and file not in seen:
-                seen.add(file)
-                yield batch.slice(0, 1).select(["file", "header"])
-                if alone:
-                    return
-
-    lines = own.read.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value").alias("header"), F.col("_metadata.file_block_start").alias("start")
-    )
-    found = stage(lines.mapInArrow(firsts, "file string, header string"), "csv-headers")
+            yield batch.slice(0, 1)
+            return
+
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # in the task, so in the file
+    lines = own.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("value"), place.alias("place"))
+    seen = lines.where(F.col("place") % AHEAD == 0).select("file", F.when(F.col("place") == 0, F.col("value")).alias("header"))
+    found = stage(seen.mapInArrow(firsts, "file string, header string").repartition("file"), "csv-headers")
     return spark.read.schema(found.schema).parquet(found.staged_path)
 
 
@@ -82,20 +80,23 @@ def _typed(raw: DataFrame, columns: dict[str, Column], problems: Observation | N
 
 
 def _read_csv(
-    spark: SparkSession, paths: Iterable[str], multi_line: bool = False, problems: Observation | None = None
+    spark: SparkSession,
+    paths: Iterable[str],
+    headers: DataFrame,
+    multi_line: bool = False,
+    problems: Observation | None = None,
 ) -> DataFrame:
     """CSV with a header. ``NA`` and blanks are null, a quoted ``""`` is text.
 
     Files may list columns in any order and lack some. All are read in one scan, by
-    place; a file's header, of which only the distinct ones come to the driver, gives the names. Column
+    place; a file's header in ``headers``, of which only the distinct ones come to the driver, gives the names. Column
     types are never guessed: an all-digit identifier stays text. Known columns are
     cast by name; a malformed number becomes null and is counted in ``problems``, which
     has a count per column after the first action on the table.
-    ``multi_line`` allows line breaks inside quoted texts; files are still split (``records``), but lines are
-    shuffled once and read twice. Adds ``_file``.
+    ``multi_line`` allows line breaks inside quoted texts; files are still split (``records``), but read
+    three times. Adds ``_file``.
     """
     paths = list(paths)
-    headers = _first_lines(spark, paths)
     lines = sorted(r["header"] for r in headers.select("header").distinct().collect())
     if not lines:
         raise ValueError(f"no header in {', '.join(paths)}")
@@ -124,7 +125,8 @@ def read_locations(
 ) -> DataFrame:
     """The location table; fails early when a required column is missing."""
     if fmt == "csv":
-        return require_columns(_read_csv(spark, [path], multi_line, problems).drop("_file"))
+        rows = _read_csv(spark, [path], _first_lines(spark, [path]), multi_line, problems)
+        return require_columns(rows.drop("_file"))
     return require_columns(spark.read.format(fmt).load(path))
 
 
@@ -151,13 +153,15 @@ def read_studies(
             spark.read.format(fmt).load(path).withColumn("study_name", F.lit(name)) for name, path in paths.items()
         )
     places = spark.createDataFrame([(n, _qualified(spark, p)) for n, p in paths.items()], "study_name string, _place string")
-    rows = _read_csv(spark, paths.values(), multi_line, problems)
+    headers = _first_lines(spark, paths.values())
+    rows = _read_csv(spark, paths.values(), headers, multi_line, problems)
     if "study_name" in rows.columns:
         rows = rows.drop("study_name")
-    # a landed path is the file itself or its folder
-    folder = F.regexp_replace("_file", "/[^/]*$", "")
-    at = F.explode(F.array_distinct(F.array("_file", folder)))
-    return rows.withColumn("_place", at).join(places, "_place").drop("_place", "_file")
+    # a landed path is the file itself or its folder; each file meets its study before the rows do
+    folder = F.regexp_replace("file", "/[^/]*$", "")
+    at = F.explode(F.array_distinct(F.array("file", folder)))
+    files = headers.select(F.col("file").alias("_file"), at.alias("_place")).join(places, "_place").select("_file", "study_name")
+    return rows.join(stage(files, "csv-studies"), "_file").drop("_file")
 
 
 def union_studies(dfs: Iterable[DataFrame]) -> DataFrame:
