@@ -90,10 +90,10 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, id_col: str, text_col: str, sketch: bytes, similarity: Fraction) -> DataFrame:
-    """``number, doc, line, n, parity, prefix`` of every distinct set of words.
+    """``number, doc, line, n, parity, prefix`` of every distinct set of words, staged.
 
     These are its first place, its size, parity bits and rarest words, and a number that
-    is unique but means nothing; it holds once the table is staged.
+    rises with the place, so that the many rows made of the words need not carry the place.
     """
     lines = _lines(docs, id_col, text_col).select("doc", "line", _hashes(F.col("text")).alias("hashes"))
     sets = lines.where(F.size("hashes") > 0).select("doc", "line", _ordered(F.col("hashes"), sketch).alias("s"))
@@ -106,7 +106,12 @@ def line_classes(docs: DataFrame, id_col: str, text_col: str, sketch: bytes, sim
         F.xxhash64(F.lit(1), "s").alias("h2"),
         F.struct("doc", "line", n.alias("n"), parity.alias("parity"), prefix.alias("prefix")).alias("set"),
     )
-    return measured.groupBy("h1", "h2").agg(F.min("set").alias("set")).select(F.monotonically_increasing_id().alias("number"), "set.*")
+    found = stage(measured.groupBy("h1", "h2").agg(F.min("set").alias("set")).select("set.*"), "line-sets-found")
+    places = ["doc", "line"]
+    in_order = found.repartitionByRange(*places).sortWithinPartitions(*places)  # reads found twice
+    classes = stage(in_order.select(F.monotonically_increasing_id().alias("number"), "*"), "line-classes")
+    discard(found)
+    return classes
 
 
 def _may_match(x: dict[str, Column], y: dict[str, Column], similarity: Fraction) -> Column:
@@ -127,8 +132,8 @@ def _fields(name: str) -> dict[str, Column]:
     return {f: F.col(f"{name}.{f}") for f in FIELDS}
 
 
-def _prefix_rows(classes: DataFrame, *more: str) -> DataFrame:
-    return classes.select("number", "n", "parity", *more, F.posexplode("prefix").alias("i", "word"))
+def _prefix_rows(classes: DataFrame) -> DataFrame:
+    return classes.select("number", "n", "parity", F.posexplode("prefix").alias("i", "word"))
 
 
 def _with_partner(classes: DataFrame, similarity: Fraction) -> DataFrame:
@@ -147,12 +152,11 @@ def _with_partner(classes: DataFrame, similarity: Fraction) -> DataFrame:
 
 def _grouped(classes: DataFrame, similarity: Fraction) -> DataFrame:
     """Prefix words that several sets share, each with the numbers of nearby earlier sets of its group that may match."""
-    group = "PARTITION BY word ORDER BY doc, line"
+    group = "PARTITION BY word ORDER BY number"
     packed = f"named_struct({', '.join(f"'{f}', {f}" for f in FIELDS)})"
     looked = [f"lag({packed}, {k}) OVER ({group})" for k in range(1, NEAREST + 1)]
-    rows = _prefix_rows(classes, "doc", "line").select(
+    rows = _prefix_rows(classes).select(
         "word",
-        F.struct("doc", "line").alias("at"),
         *FIELDS,
         F.expr("count(1) OVER (PARTITION BY word)").alias("members"),
         F.expr(f"array({', '.join(looked)}, first_value({packed}) OVER ({group}))").alias("earlier"),
@@ -194,11 +198,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFr
 def first_lines(docs: DataFrame, id_col: str, text_col: str, similarity: Fraction) -> DataFrame:
     """``at``: the first places of the sets that are not similar to a set that comes earlier."""
     sketch = rarity_sketch(docs, text_col)
-    classes = stage(line_classes(docs, id_col, text_col, sketch, similarity), "line-classes")
+    classes = line_classes(docs, id_col, text_col, sketch, similarity)
     partners = _with_partner(classes, similarity)
     partnered = classes.join(partners, "number", "left_semi")
-    sets = _word_sets(partnered, docs, id_col, text_col)
     groups = stage(_grouped(partnered, similarity), "line-groups")
+    sets = _word_sets(partnered, docs, id_col, text_col)  # after the groups, whose shuffle is the largest
     discard(partners)
     near = groups.select(F.col("number").alias("y"), F.explode("earlier").alias("x"))
     matched = _verified(near, sets, similarity)
@@ -207,7 +211,7 @@ def first_lines(docs: DataFrame, id_col: str, text_col: str, similarity: Fractio
     large = groups.where(F.col("members") > NEAREST + 2).drop("members", "earlier")
     open_ = large.join(matched, "number", "left_anti")
     x, y = _fields("x"), _fields("y")
-    meets = (F.col("x.word") == F.col("y.word")) & (F.col("x.at") < F.col("y.at")) & _may_match(x, y, similarity)
+    meets = (F.col("x.word") == F.col("y.word")) & (x["number"] < y["number"]) & _may_match(x, y, similarity)
     far = open_.alias("y").join(large.alias("x"), meets).select(F.col("y.number").alias("y"), F.col("x.number").alias("x"))
     matched = matched.unionByName(_verified(far, sets, similarity))
     discard(groups)
