@@ -91,3 +91,26 @@ def test_rows_that_share_an_id_are_told_apart(spark):
     rows = [(1, "a b c d e"), (5, "a b c d e"), (5, "totally different words than those")]
     found = sorted(map(tuple, ld.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert found == [(1, "a b c d e"), (5, ""), (5, "totally different words than those")]
+
+
+@pytest.mark.parametrize("n", [60, 100, 250, 600])
+def test_long_lines_that_share_only_a_rare_word_have_no_partner(documents, n):
+    rng = random.Random(n)
+    texts = [" ".join(["rare", *(f"w{rng.randrange(10**6)}" for _ in range(n - 1))]) for _ in range(20)]
+    near = texts[0].split()
+    near[5:10] = ["other"]
+    docs = documents([*texts, " ".join(near)])
+    classes = ld.stage(ld.line_classes(docs, "doc_id", "text", ld.rarity_sketch(docs, "text"), ld.SIMILARITY), "classes")
+    assert 2 <= ld._with_partner(classes, ld.SIMILARITY).count() <= (2 if n < 300 else 21)
+    check(docs, [*texts, " ".join(near)])
+
+
+def test_near_copies_of_lines_of_all_lengths(documents):
+    rng = random.Random(23)
+    texts = []
+    for n in [*range(55, 75), *range(120, 140), 300]:
+        line = [f"w{rng.randrange(10**4)}" for _ in range(n)]
+        texts.append(" ".join(line))
+        for cut in (0.08, 0.1, 0.2, 0.21):
+            texts += [" ".join(line[int(n * cut) :]), " ".join([*line, *(f"v{rng.randrange(10**4)}" for _ in range(int(n * cut)))])]
+    check(documents(texts), texts)

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from conftest import rows
 
@@ -136,3 +138,16 @@ def test_staged_tables_can_be_deleted(spark):
     one, two = stage(spark.range(3), "gone"), stage(spark.range(3), "kept")
     discard(one)
     assert not os.path.exists(one.staged_path) and two.count() == 3
+
+
+def test_the_shuffle_behind_a_staged_table_goes_at_once(spark):
+    shuffles = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    stage(spark.range(10), "before", free_shuffles=True)
+    time.sleep(2)
+    before = shuffles.size()
+    stage(spark.range(1000).repartition(3, "id"), "shuffled", free_shuffles=True)
+    for _ in range(20):
+        time.sleep(0.2)
+        if shuffles.size() <= before:
+            return
+    raise AssertionError(f"{shuffles.size()} shuffles, {before} before")

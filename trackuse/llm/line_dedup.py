@@ -20,6 +20,7 @@ SIMILARITY = Fraction(4, 5)
 SKETCH_BITS = 18
 HASH_BITS = 56
 NEAREST = 4  # earlier rows of a word's group that a line is compared with at once
+WIDER = (64, 128)  # words from which a line has 128 and 256 parity bits instead of 64
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -90,21 +91,27 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, id_col: str, text_col: str, sketch: bytes, similarity: Fraction) -> DataFrame:
-    """``number, doc, line, n, parity, prefix`` of every distinct set of words.
+    """``number, doc, line, n, parity, p1, p2, p3, prefix`` of every distinct set of words.
 
     These are its first place, its size, parity bits and rarest words, and a number that
-    is unique but means nothing; it holds once the table is staged.
+    is unique but means nothing; it holds once the table is staged. ``parity`` has 64 bits.
+    Long lines fill them, so they have more: of the quarters q0 to q3 of 256 bits, ``parity`` is the exclusive or of
+    all, ``p1`` that of q1 and q3, ``p2`` and ``p3`` are q2 and q3; null in shorter lines.
     """
     lines = _lines(docs, id_col, text_col).select("doc", "line", _hashes(F.col("text")).alias("hashes"))
     sets = lines.where(F.size("hashes") > 0).select("doc", "line", _ordered(F.col("hashes"), sketch).alias("s"))
     n = F.size("s")
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
-    parity = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
+    parity = lambda s: F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
+    quarters = lambda mask, value: parity(F.filter("s", lambda x: x.bitwiseAND(mask << 6) == value << 6))
+    more = [F.when(n >= WIDER[0], quarters(1, 1)), *[F.when(n >= WIDER[1], quarters(3, k)) for k in (2, 3)]]
     prefix = F.slice("s", 1, n - _ceil(similarity, n) + 1)
     measured = sets.select(
         F.xxhash64("s").alias("h1"),
         F.xxhash64(F.lit(1), "s").alias("h2"),
-        F.struct("doc", "line", n.alias("n"), parity.alias("parity"), prefix.alias("prefix")).alias("set"),
+        F.struct(
+            "doc", "line", n.alias("n"), parity("s").alias("parity"), *[m.alias(p) for m, p in zip(more, PARITY[1:])], prefix.alias("prefix")
+        ).alias("set"),
     )
     return measured.groupBy("h1", "h2").agg(F.min("set").alias("set")).select(F.monotonically_increasing_id().alias("number"), "set.*")
 
@@ -116,11 +123,16 @@ def _may_match(x: dict[str, Column], y: dict[str, Column], similarity: Fraction)
         y["n"] * similarity.denominator >= x["n"] * similarity.numerator
     )
     position = F.least(x["n"] - x["i"], y["n"] - y["i"]) >= overlap
-    parity = F.bit_count(x["parity"].bitwiseXOR(y["parity"])) <= x["n"] + y["n"] - 2 * overlap
-    return length & position & parity
+    most = x["n"] + y["n"] - 2 * overlap
+    a, b, c, d = (x[p].bitwiseXOR(y[p]) for p in PARITY)
+    ones = lambda *halves: sum(map(F.bit_count, halves[1:]), F.bit_count(halves[0])) <= most
+    wider = b.isNull() | ones(b, a.bitwiseXOR(b))
+    widest = c.isNull() | ones(d, c, b.bitwiseXOR(d), a.bitwiseXOR(b).bitwiseXOR(c))
+    return length & position & ones(a) & wider & widest
 
 
-FIELDS = ("number", "n", "i", "parity")
+PARITY = ("parity", "p1", "p2", "p3")
+FIELDS = ("number", "n", "i", *PARITY)
 
 
 def _fields(name: str) -> dict[str, Column]:
@@ -128,7 +140,7 @@ def _fields(name: str) -> dict[str, Column]:
 
 
 def _prefix_rows(classes: DataFrame, *more: str) -> DataFrame:
-    return classes.select("number", "n", "parity", *more, F.posexplode("prefix").alias("i", "word"))
+    return classes.select("number", "n", *PARITY, *more, F.posexplode("prefix").alias("i", "word"))
 
 
 def _with_partner(classes: DataFrame, similarity: Fraction) -> DataFrame:
@@ -196,10 +208,11 @@ def first_lines(docs: DataFrame, id_col: str, text_col: str, similarity: Fractio
     sketch = rarity_sketch(docs, text_col)
     classes = stage(line_classes(docs, id_col, text_col, sketch, similarity), "line-classes")
     partners = _with_partner(classes, similarity)
-    partnered = classes.join(partners, "number", "left_semi")
+    partnered = stage(classes.join(partners, "number", "left_semi"), "line-partnered")
+    discard(partners)
     sets = _word_sets(partnered, docs, id_col, text_col)
     groups = stage(_grouped(partnered, similarity), "line-groups")
-    discard(partners)
+    discard(partnered)
     near = groups.select(F.col("number").alias("y"), F.explode("earlier").alias("x"))
     matched = _verified(near, sets, similarity)
 

@@ -35,11 +35,13 @@ def stage(df: DataFrame, name: str, free_shuffles: bool = False) -> DataFrame:
     All tables of one application lie in one folder, to be removed after it
     with ``cleanup``, or one by one with ``discard``. ``free_shuffles`` collects the driver's
     garbage, so that Spark drops the shuffle files behind the table at once, not some time later.
+    As Spark's event queue keeps the last query until another one ends, a query of one row comes first.
     """
     spark = df.sparkSession
     path = f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if free_shuffles:
+        spark.range(1).count()
         spark.sparkContext._jvm.System.gc()
     staged = spark.read.schema(df.schema).parquet(path)
     staged.staged_path = path
