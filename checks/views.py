@@ -58,6 +58,7 @@ def landed(view):
             _LANDED[key] = stage(df.repartition(cores) if few else df, view.__name__)
         return _LANDED[key].select("*")
 
+    read.view = view
     return read
 
 
@@ -130,7 +131,7 @@ def studies(spark: SparkSession, sf: str) -> DataFrame:
 def raw_fixes(spark: SparkSession, sf: str) -> DataFrame:
     """Fixes before import: some animals unnamed, some columns always empty."""
     return (
-        fixes(spark, sf)
+        fixes.view(spark, sf)
         .drop("hub", "study_site", "deploy_on_timestamp")
         .withColumn(
             "individual_local_identifier",

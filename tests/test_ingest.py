@@ -139,3 +139,17 @@ def test_many_pairs_of_one_key_are_split(spark, monkeypatch):
     finally:
         for n, v in kept.items():
             spark.conf.set(n, v)
+
+
+def test_fixes_are_not_shuffled_to_meet_few_deployments(spark, monkeypatch):
+    plans = {}
+    plain = ingest.stage
+    monkeypatch.setattr(ingest, "stage", lambda df, name: plans.update({name: df}) or plain(df, name))
+    text = spark.range(60).selectExpr(
+        "'s' AS study_name", "'a' AS individual_local_identifier", "concat('2020-01-01 00:', lpad(id, 2, '0'), ':00') AS timestamp",
+        "(id * 7919 % 101) / 10D AS X", "(id * 104729 % 97) / 10D AS Y", "'ok' AS taxon_detail",
+    )
+    deps = spark.createDataFrame([("s", "a", "2019-01-01")], "study_name string, individual_local_identifier string, deploy_on_timestamp string")
+    clean_import(text, deps)
+    plan = plans["imported"]._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -3,6 +3,7 @@ import random
 
 from conftest import rows
 
+from trackuse.operators import outliers
 from trackuse.operators.outliers import drop_outliers, flag_outliers
 
 SCHEMA = "id string, timestamp timestamp_ntz, X double, Y double"
@@ -64,3 +65,19 @@ def test_missing_value_empties_its_windows(spark):
     df = table(spark, [("a", START + dt.timedelta(hours=i), float(i), y) for i, y in enumerate(ys)])
     got = {r["X"]: r["Y_mean_5"] for r in flag_outliers(df, "id", ["timestamp"], ["Y", "X"]).collect()}
     assert [x for x in sorted(got) if got[x] is not None] == [6.0, 7.0]
+
+
+def test_only_large_keys_are_cut(spark, monkeypatch):
+    data = walk(1, 900, "hot", [30, 600, 7200, 90_000]) + walk(2, 40, "cold", [3600]) + walk(3, 300, None, [1]) + walk(5, 99, None, [1])
+    args = ("id", ["timestamp"], ["Y", "X"])
+    want = sorted(map(repr, rows(flag_outliers(table(spark, data), *args, slices=1))))
+    names = []
+    plain = outliers.stage
+    monkeypatch.setattr(outliers, "stage", lambda df, name: names.append(name) or plain(df, name))
+    assert sorted(map(repr, rows(flag_outliers(table(spark, data), *args)))) == want
+    assert "outlier-slices" not in names
+    for large in (350, 500, 10):
+        names.clear()
+        monkeypatch.setattr(outliers, "LARGE", large)
+        assert sorted(map(repr, rows(flag_outliers(table(spark, data), *args)))) == want
+        assert "outlier-slices" in names

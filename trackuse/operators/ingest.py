@@ -160,14 +160,17 @@ def clean_import(
     met = deps.join(fix_keys, same_key(deps, fix_keys, [(k, k) for k in on]), "left_semi")
     filled = [c for c in filled_columns(met) if c not in on]
     order = ["deploy_on_timestamp"] if "deploy_on_timestamp" in deps.columns else []
-    first_dep = dedup_first(deps, on, order).select(*on, *[F.col(f"`{c}`") for c in filled])
-
-    joined = _attached(fixes, first_dep, on, suffix)  # one row per key: nothing to split
+    first_dep = dedup_first(deps, on, order)
     # names may clash only with fix columns that are themselves dropped as empty
+    first_dep = first_dep.select(*on, *[F.col(f"`{c}`").alias(f"{c}{suffix}" if c in fixes.columns else c) for c in filled])
+    first_dep = stage(first_dep, "first-deployments")  # its size decides whether the fixes are shuffled to meet it
+
     empty = [c for c in fixes.columns if c not in kept]
-    tidy = joined.drop(*[c for c in empty if c not in STUDY_KEYS])
-    unique = dedup_first(tidy, [*on, "timestamp"])
-    # read twice below: to find even ranges, and to cut them
-    shaped = stage(exclude_taxa(reorder(drop_any(unique, drop)), values=taxa), "imported")
+    tidy = fixes.drop(*[c for c in empty if c not in STUDY_KEYS])
+    # rows of one study and individual get the same deployment, so it can't decide between them
+    unique = dedup_first(tidy, [*on[::-1], "timestamp"])
+    joined = _attached(unique, first_dep, on, suffix)  # one row per key: nothing to split
+    # read more than once below
+    shaped = stage(exclude_taxa(reorder(drop_any(joined, drop)), values=taxa), "imported")
     discard(fixes)
     return drop_outliers(flag_outliers(shaped, "individual_local_identifier", ["timestamp"], ["Y", "X"]))

@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackuse.operators.ordering import total_order
+from trackuse.operators.ordering import same_key, total_order
 from trackuse.sources.staging import stage
 
 
+LARGE = 250_000  # rows from which a key is cut into slices
+
+
 def _with_slices(df: DataFrame, key: str, order: Sequence[str], half: int, slices: int) -> DataFrame:
     """Rows in even ranges of key and order, each lent ``half`` rows by its neighbours.
 
@@ -43,6 +46,17 @@ def _with_slices(df: DataFrame, key: str, order: Sequence[str], half: int, slice
     return rows.withColumn("_extra", F.lit(False)).unionByName(extra)
 
 
+def _cut(df: DataFrame, key: str, order: Sequence[str], half: int, slices: int) -> DataFrame:
+    """Rows of keys with more than ``LARGE`` rows in slices, all other keys whole, as one slice each."""
+    sizes = df.groupBy(F.col(key).alias("_large")).agg(F.count("*").alias("_rows"))
+    large = stage(sizes.where(F.col("_rows") > LARGE).select("_large"), "outlier-keys")  # few rows, so Spark broadcasts them
+    whole = lambda rows: rows.withColumn("_slice", F.lit(-1)).withColumn("_extra", F.lit(False))
+    if large.isEmpty():
+        return whole(df)
+    met = same_key(df, large, [(key, "_large")])
+    return whole(df.join(large, met, "left_anti")).unionByName(_with_slices(df.join(large, met, "left_semi"), key, order, half, slices))
+
+
 def flag_outliers(
     df: DataFrame,
     key: str,
@@ -55,15 +69,17 @@ def flag_outliers(
     """Add rolling mean, sd and squared deviation over sd per column, and a flag.
 
     ``order[0]`` is the time column. The flag is null when any window is not
-    full or has no spread. The table is cut into ``slices`` overlapping ranges of
-    even size (as many as shuffle partitions if not given); the result does not
-    depend on their number. Finding the ranges takes a pass of its own, so stage
+    full or has no spread. The rows of large keys are cut into overlapping ranges of
+    even size, as many as shuffle partitions; with ``slices`` the whole table is cut into that many. The result does not
+    depend on it. Counting the keys and finding the ranges takes passes of their own, so stage
     ``df`` if it is costly to compute.
     """
     half = width // 2
     names = df.columns
-    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _with_slices(df, key, order, half, slices)
+    if slices:
+        rows = _with_slices(df, key, order, half, slices)
+    else:
+        rows = _cut(df, key, order, half, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     asc = total_order(df, order, skip=[key])
     w = Window.partitionBy(key, "_slice").orderBy(*asc).rowsBetween(-half, half)
     full = {c: F.count(c).over(w) == width for c in cols}
