@@ -114,3 +114,17 @@ def test_near_copies_of_lines_of_all_lengths(documents):
         for cut in (0.08, 0.1, 0.2, 0.21):
             texts += [" ".join(line[int(n * cut) :]), " ".join([*line, *(f"v{rng.randrange(10**4)}" for _ in range(int(n * cut)))])]
     check(documents(texts), texts)
+
+
+def test_words_are_hashed_once(documents):
+    docs = documents(["a b c", "a b c\n\n \t\x0b\x0c\r\nd"])
+    classes = ld.line_classes(docs, "doc_id", "text", ld.rarity_sketch(docs, "text"), ld.SIMILARITY)
+    plan = classes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct(") == 1  # a filter by the hashes computed them a second time
+    assert sorted(r.n for r in classes.collect()) == [1, 3]
+
+
+def test_lines_without_words_and_whole_texts_stay(documents):
+    texts = ["a b\n \t\x0b\x0c\r \n\nc", "\n\n", "", "q r\n", "q r\n\u00a0\u2003\n", None, "only\nnew words"]
+    found = by_id(ld.without_repeated_lines(documents(texts)))
+    assert {i: r.text for i, r in found.items()} == {**dict(enumerate(texts)), 4: "\u00a0\u2003\n"}

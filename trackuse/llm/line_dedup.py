@@ -21,6 +21,7 @@ SKETCH_BITS = 18
 HASH_BITS = 56
 NEAREST = 4  # earlier rows of a word's group that a line is compared with at once
 WIDER = (64, 128)  # words from which a line has 128 and 256 parity bits instead of 64
+BLANKS = " \t\r\x0b\x0c"  # what stands between the words of a line
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -31,13 +32,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def _split(line: Column) -> Column:
     """Lower-case words; there may be empty ones."""
     text = F.lower(line)
-    for blank in "\t\r\x0b\x0c":
+    for blank in BLANKS[1:]:
         text = F.replace(text, F.lit(blank), F.lit(" "))
     return F.split(text, " ")
 
 
 def _blank(line: Column) -> Column:
-    return F.size(F.array_remove(F.array_distinct(_split(line)), "")) == 0
+    """Whether a line has no words, without splitting it."""
+    return F.trim(line, F.lit(BLANKS)) == ""
 
 
 def _hashes(line: Column) -> Column:
@@ -98,8 +100,9 @@ def line_classes(docs: DataFrame, id_col: str, text_col: str, sketch: bytes, sim
     Long lines fill them, so they have more: of the quarters q0 to q3 of 256 bits, ``parity`` is the exclusive or of
     all, ``p1`` that of q1 and q3, ``p2`` and ``p3`` are q2 and q3; null in shorter lines.
     """
-    lines = _lines(docs, id_col, text_col).select("doc", "line", _hashes(F.col("text")).alias("hashes"))
-    sets = lines.where(F.size("hashes") > 0).select("doc", "line", _ordered(F.col("hashes"), sketch).alias("s"))
+    # a filter by the hashes would be moved below them and compute them once more
+    lines = _lines(docs, id_col, text_col).where(~_blank(F.col("text")))
+    sets = lines.select("doc", "line", _ordered(_hashes(F.col("text")), sketch).alias("s"))
     n = F.size("s")
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
     parity = lambda s: F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
@@ -246,6 +249,8 @@ def without_repeated_lines(
     joined = docs.join(kept, _key(id_col, text_col) == kept["kept_doc"], "left")
     stays = lambda line, i: F.array_contains(F.coalesce(kept["kept_lines"], F.array().cast("array<int>")), i) | _blank(line)
     text = F.array_join(F.filter(F.split(docs[text_col], "\n"), stays), "\n")
+    breaks = F.length(docs[text_col]) - F.length(F.replace(docs[text_col], F.lit("\n"), F.lit("")))
+    text = F.when(F.size(kept["kept_lines"]) == breaks + 1, docs[text_col]).otherwise(text)  # all lines stay: nothing to split
     return joined.select(*[(text.alias(c) if c == text_col else docs[c]) for c in docs.columns])
 
 
