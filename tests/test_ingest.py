@@ -141,6 +141,28 @@ def test_many_pairs_of_one_key_are_split(spark, monkeypatch):
             spark.conf.set(n, v)
 
 
+def test_fixes_of_a_large_key_meet_arrays_of_deployments(spark, monkeypatch):
+    """Also of deployments that are equal; without further columns their number still counts."""
+    monkeypatch.setattr(ingest, "PAIRS_PER_PIECE", 50, raising=False)
+    monkeypatch.setattr(ingest, "DEPLOYMENTS_PER_ARRAY", 3, raising=False)
+    met = []
+    plain = ingest._attached
+    monkeypatch.setattr(ingest, "_attached", lambda fixes, deps, *args: met.append(deps) or plain(fixes, deps, *args))
+    fix_rows = [("s", None, i) for i in range(20)] + [("s", "a", 300), (None, "a", 301), ("s", "z", None)]
+    dep_rows = [("s", None, 1)] * 7 + [("s", None, 2), ("s", None, None), ("s", "a", 1), ("s", "a", 1), (None, "a", 3), ("t", "a", 4)]
+    schema = "study_name string, individual_local_identifier string, `v.w` int"
+    fixes, deps = spark.createDataFrame(fix_rows, schema), spark.createDataFrame(dep_rows, schema)
+    want = []
+    for f in fix_rows:
+        want += [(*f, d[2]) for d in dep_rows if d[:2] == f[:2]] or [(*f, None)]
+    out = join_deployments(fixes, deps)
+    assert out.columns == [*fixes.columns, "v.w_dep"] and sorted(rows(out), key=repr) == sorted(want, key=repr)
+    sizes = met[-1].where("study_name = 's' and individual_local_identifier is null and _piece = 0").selectExpr("size(_deployments) AS n")
+    assert max(r.n for r in sizes.collect()) <= 3 and sum(r.n for r in sizes.collect()) == 9
+    bare = join_deployments(fixes, deps.drop("`v.w`").drop("v.w"))
+    assert bare.columns == fixes.columns and sorted(rows(bare), key=repr) == sorted((w[:3] for w in want), key=repr)
+
+
 def test_fixes_are_not_shuffled_to_meet_few_deployments(spark, monkeypatch):
     plans = {}
     plain = ingest.stage
